@@ -12,6 +12,7 @@ and sampling factors that divide the largest; the coder writes one layout (4:2:0
 from __future__ import annotations
 
 import struct
+from bisect import bisect_left
 from dataclasses import dataclass, field
 from functools import cache
 
@@ -134,11 +135,14 @@ def _magnitude(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _ac_first(blocks: np.ndarray, lo: int, hi: int, al: int, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    table, n = table_of(*AC_SPEC), len(blocks)
-    v = blocks[:, lo : hi + 1].astype(np.int64)
-    v = np.where(v >= 0, v >> al, -((-v) >> al))
-    row, k = np.nonzero(v)
-    v = v[row, k]
+    table, n, width = table_of(*AC_SPEC), len(blocks), hi - lo + 1
+    v = np.ascontiguousarray(blocks[:, lo : hi + 1]).reshape(-1)
+    if al:
+        v = np.where(v >= 0, v >> al, -((-v) >> al))
+    at = np.flatnonzero(v)
+    row = at // width
+    k = at - row * width
+    v = v[at].astype(np.int64)
     first = np.ones(len(row), bool)
     first[1:] = row[1:] != row[:-1]
     run = k - np.where(first, -1, np.concatenate([[0], k[:-1]])) - 1
@@ -285,7 +289,10 @@ def _interleaved(shapes: tuple[tuple[int, int, int, int], ...], down: int, acros
             for dx in range(h):
                 cols.append(first + (r * v + dy) * wide + c * h + dx)
                 parts.append(i)
-    return np.stack(cols, axis=1), np.array(parts)
+    return np.stack(cols, axis=1).reshape(-1), np.array(parts)
+
+
+_ALONE = np.zeros(1, dtype=np.int64)
 
 
 class _Bits:
@@ -312,14 +319,26 @@ def _extend(v: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 @dataclass
 class _Group:
-    """Segments of one kind of scan."""
-
-    pos: list = field(default_factory=list)  # first bit
-    base: list = field(default_factory=list)  # first entry of its blocks
-    count: list = field(default_factory=list)
-    blocks: list = field(default_factory=list)
-    same: list = field(default_factory=list)  # numbers that hold for a scan: by segment after gather()
-    n: int = 0
+    """The scans of one kind; ``scans`` has what holds for a whole scan, ``gather`` lists its segments."""
+
+    #: first byte, first of its restart markers, segments, blocks a segment, approximation, and for AC: range and table
+    scans: list[tuple[int, ...]] = field(default_factory=list)
+    layouts: list[np.ndarray] = field(default_factory=list)
+    shifts: list[int] = field(default_factory=list)  # first block of the scan's image or component
+    units: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)  # DC: component and table by block of a unit
+
+    def gather(self, restarts: np.ndarray, removed: np.ndarray) -> tuple[np.ndarray, ...]:
+        """By segment: first bit, first entry in the list of blocks, number of blocks; the list of blocks; its scan's row."""
+        rows = np.array(self.scans)
+        lens = np.array([len(x) for x in self.layouts])
+        blocks = np.concatenate(self.layouts) + np.repeat(self.shifts, lens)
+        scan = np.repeat(np.arange(len(rows)), rows[:, 2])
+        nth = np.arange(len(scan)) - np.repeat(np.cumsum(rows[:, 2]) - rows[:, 2], rows[:, 2])
+        begins = rows[scan, 0]
+        later = nth > 0
+        begins[later] = restarts[rows[scan[later], 1] + nth[later] - 1] + 2
+        firsts = nth * rows[scan, 3]
+        return (begins - removed[begins]) * 8, (np.cumsum(lens) - lens)[scan] + firsts, np.minimum(rows[scan, 3], lens[scan] - firsts), blocks, scan, rows
 
 
 def decode(files: list[bytes]) -> tuple[list[Image], np.ndarray]:
@@ -335,6 +354,7 @@ def decode(files: list[bytes]) -> tuple[list[Image], np.ndarray]:
     bits = _Bits(joined[~drop], removed)
     restarts = flags[(after >= 0xD0) & (after <= 0xD7)]
     markers = flags[(after >= 0xC0) & ~((after >= 0xD0) & (after <= 0xD7))]
+    restart_list, marker_list = restarts.tolist(), markers.tolist()
     groups = {kind: _Group() for kind in ("dc first", "dc refine", "ac first", "ac refine")}
     lookups: list[np.ndarray] = []
     known: dict[int, int] = {}
@@ -383,73 +403,49 @@ def decode(files: list[bytes]) -> tuple[list[Image], np.ndarray]:
                 lo, hi, approx = body[1 + 2 * n : 4 + 2 * n]
                 ah, al = approx >> 4, approx & 15
                 here = start + at
-                stop = int(markers[np.searchsorted(markers, here)])
-                first, last = np.searchsorted(restarts, (here, stop))
-                cuts = restarts[first:last]
-                begins = np.concatenate([[here], cuts + 2])
+                stop = marker_list[bisect_left(marker_list, here)]
+                first, last = bisect_left(restart_list, here), bisect_left(restart_list, stop)
                 group = groups[("dc " if lo == 0 else "ac ") + ("refine" if ah else "first")]
                 if n > 1:
                     low = image.grids[chosen[0]][0]
                     blocks, which = _interleaved(tuple((image.grids[j][0] - low, image.grids[j][2], image.parts[j][1], image.parts[j][2]) for j in chosen), down, across)
-                    per, blocks = len(which), blocks.reshape(-1) + low
+                    per = len(which)
                 else:
                     j = chosen[0]
+                    low = image.grids[j][0]
                     rows = -(--(-image.height * image.parts[j][2] // vm) // 8)
                     cols = -(--(-image.width * image.parts[j][1] // hm) // 8)
-                    blocks, which, per = _raster(rows, cols, image.grids[j][2]) + image.grids[j][0], np.zeros(1, int), 1
+                    blocks, which, per = _raster(rows, cols, image.grids[j][2]), _ALONE, 1
                 step = interval * per if interval else len(blocks)
-                if len(begins) != -(-len(blocks) // step):
+                if last - first + 1 != -(-len(blocks) // step):
                     raise ValueError("a scan has another number of restart intervals than its size asks for")
-                group.pos.append((begins - removed[begins]) * 8)
-                firsts = np.arange(len(begins)) * step
-                group.base.append(group.n + firsts)
-                group.count.append(np.minimum(step, len(blocks) - firsts))
-                group.blocks.append(blocks)
-                group.n += len(blocks)
+                group.layouts.append(blocks)
+                group.shifts.append(low)
+                group.scans.append((here, first, last - first + 1, step, al, lo, hi, tables[16 + (ids[0] & 15)] if lo else per))
                 if lo == 0:
-                    used = np.array([tables.get(t >> 4, 0) for t in ids])[which]
-                    group.same.append((len(begins), al, per, which, used))
-                else:
-                    group.same.append((len(begins), al, lo, hi, tables[16 + (ids[0] & 15)]))
+                    group.units.append((which, np.array([tables.get(t >> 4, 0) for t in ids])[which]))
                 at = stop - start
         images.append(image)
     coefs = np.zeros((total, 64), dtype=np.int32)
     lookup = np.concatenate(lookups) if lookups else np.zeros(1 << 16, np.uint16)
-    _dc_first(groups["dc first"], bits, lookup, coefs)
-    _ac_first_scan(groups["ac first"], bits, lookup, coefs)
-    _dc_refine(groups["dc refine"], bits, coefs)
-    _ac_refine_scan(groups["ac refine"], bits, lookup, coefs)
+    for kind, run in (("dc first", _dc_first), ("ac first", _ac_first_scan), ("dc refine", _dc_refine), ("ac refine", _ac_refine_scan)):
+        if groups[kind].scans:
+            run(groups[kind], groups[kind].gather(restarts, removed), bits, lookup, coefs)
     return images, coefs
 
 
-def _gather(group: _Group) -> tuple[np.ndarray, ...]:
-    return np.concatenate(group.pos), np.concatenate(group.base), np.concatenate(group.count), np.concatenate(group.blocks)
-
-
-def _columns(group: _Group, which: int) -> np.ndarray:
-    return np.repeat([s[which] for s in group.same], [s[0] for s in group.same])
-
-
 def _symbol(bits: _Bits, pos: np.ndarray, table: np.ndarray, lookup: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     window = bits.window(pos)
     found = lookup[table + (window >> np.uint64(48)).astype(np.int64)].astype(np.int64)
     return window, found >> 8, found & 255
 
 
-def _scans_of(group: _Group) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For DC scans, per segment: blocks a unit, and where its unit's components and tables start in flat lists."""
-    per = _columns(group, 2)
-    starts = np.cumsum([0] + [len(s[3]) for s in group.same])[:-1]
-    return per, np.repeat(starts, [s[0] for s in group.same]), _columns(group, 1)
-
-
-def _dc_first(group: _Group, bits: _Bits, lookup: np.ndarray, coefs: np.ndarray) -> None:
-    if not group.n:
-        return
-    pos, base, count, blocks = _gather(group)
-    per, start, al = _scans_of(group)
-    which = np.concatenate([s[3] for s in group.same])
-    used = np.concatenate([s[4] for s in group.same]) * 65536
+def _dc_first(group: _Group, segments: tuple, bits: _Bits, lookup: np.ndarray, coefs: np.ndarray) -> None:
+    pos, base, count, blocks, scan, rows = segments
+    al, per = rows[scan, 4], rows[scan, 7]
+    start = (np.cumsum(rows[:, 7]) - rows[:, 7])[scan]
+    which = np.concatenate([w for w, _ in group.units])
+    used = np.concatenate([t for _, t in group.units]) * 65536
     before = np.zeros((len(pos), int(which.max()) + 1), dtype=np.int64)
     live = np.arange(len(pos))
     for k in range(int(count.max())):
@@ -462,21 +458,17 @@ def _dc_first(group: _Group, bits: _Bits, lookup: np.ndarray, coefs: np.ndarray)
         pos[live] += length + size
 
 
-def _dc_refine(group: _Group, bits: _Bits, coefs: np.ndarray) -> None:
-    if not group.n:
-        return
-    pos, base, count, blocks = _gather(group)
-    al, live = _columns(group, 1), np.arange(len(pos))
+def _dc_refine(group: _Group, segments: tuple, bits: _Bits, lookup: np.ndarray, coefs: np.ndarray) -> None:
+    pos, base, count, blocks, scan, rows = segments
+    al, live = rows[scan, 4], np.arange(len(pos))
     for k in range(int(count.max())):
         live = live[count[live] > k]
         coefs[blocks[base[live] + k], 0] |= (bits.window(pos[live] + k) >> np.uint64(63)).astype(np.int32) << al[live].astype(np.int32)
 
 
-def _ac_first_scan(group: _Group, bits: _Bits, lookup: np.ndarray, coefs: np.ndarray) -> None:
-    if not group.n:
-        return
-    pos, base, count, blocks = _gather(group)
-    al, lo, hi, table = (_columns(group, j) for j in range(1, 5))
+def _ac_first_scan(group: _Group, segments: tuple, bits: _Bits, lookup: np.ndarray, coefs: np.ndarray) -> None:
+    pos, base, count, blocks, scan, rows = segments
+    al, lo, hi, table = (rows[scan, j] for j in range(4, 8))
     table = table * 65536
     left, k = count.copy(), lo.copy()
     flat = coefs.reshape(-1)
@@ -504,11 +496,9 @@ def _ac_first_scan(group: _Group, bits: _Bits, lookup: np.ndarray, coefs: np.nda
                 pos, base, left, k, al, lo, hi, table = (x[keep] for x in (pos, base, left, k, al, lo, hi, table))
 
 
-def _ac_refine_scan(group: _Group, bits: _Bits, lookup: np.ndarray, coefs: np.ndarray) -> None:
-    if not group.n:
-        return
-    pos, base, left, blocks = _gather(group)
-    al, lo, hi, table = (_columns(group, j) for j in range(1, 5))
+def _ac_refine_scan(group: _Group, segments: tuple, bits: _Bits, lookup: np.ndarray, coefs: np.ndarray) -> None:
+    pos, base, left, blocks, scan, rows = segments
+    al, lo, hi, table = (rows[scan, j] for j in range(4, 8))
     table = table * 65536
     k = lo.copy()
     run, value, eob = (np.zeros(len(pos), np.int64) for _ in range(3))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, sharding
+from . import chat, langid, licences, media, mixing, quality, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,41 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def _in_fold(modulus: int, rest: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % modulus == rest
+
+
+#: A document is predicted to be good from this score on.
+QUALITY_THRESHOLD = 0.3
+
+
+def op2_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    model = quality.fit(docs.join(labels.filter(~_in_fold(5, 0)), "doc_id"))
+    scored = quality.score(docs, model)
+    return scored.select(
+        "doc_id",
+        F.coalesce(_in_fold(5, 0), F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
+def op3_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.read(media.store(_table(spark, sf_dir, "documents")))
+
+
+def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(_table(spark, sf_dir, "documents"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = langid.identify(docs, langid.fit(docs.filter(~_in_fold(3, 1))), carry=["doc_id"])
+    return found.select("doc_id", F.coalesce(_in_fold(3, 1), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op4_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"))
 
@@ -40,8 +75,12 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": op1_source_mix,
+    "op2_quality_score": op2_quality_score,
+    "op3_progressive_jpeg": op3_progressive_jpeg,
     "op4_hash_tree_shards": op4_hash_tree_shards,
     "op5_chat_format": op5_chat_format,
+    "op7_licence_scan": op7_licence_scan,
+    "op8_language_id": op8_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {
