@@ -212,16 +212,16 @@ def predict_batch(net: Network | None, texts: Sequence[str | None]) -> tuple[lis
     return langs, scores
 
 
-def identify(docs: DataFrame, net: Network | None, carry: Sequence[str] = ()) -> DataFrame:
-    """Per row of ``docs`` (text): the columns ``carry``, then lang_pred and score."""
+def identify(docs: DataFrame, net: Network | None, carry: Sequence[str] = (), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Per row of ``docs`` (text): the columns ``carry``, then the language and its score under ``names``."""
     model = docs.sparkSession.sparkContext.broadcast(pickle.dumps(net))  # fixed size: classes x filters
-    carry = [c for c in carry if c not in ("lang_pred", "score")]
+    carry = [c for c in carry if c not in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pickle.loads(model.value)
         for batch in batches:
             langs, scores = predict_batch(own, batch.column(batch.num_columns - 1).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*carry, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*carry, *names])
 
-    schema = T.StructType([*(docs.schema[c] for c in carry), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*(docs.schema[c] for c in carry), T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
     return docs.select(*carry, F.col("text").alias("__text")).mapInArrow(run, schema)

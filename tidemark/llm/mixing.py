@@ -57,12 +57,16 @@ def water_fill(sizes: Sequence[float], weights: Sequence[float], share: float, m
     return targets
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, max_epochs: float = 2.0, seed: int = 17, carry: Sequence[str] = ()) -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, max_epochs: float = 2.0, seed: int = 17) -> DataFrame:
     """Per row of ``docs`` (doc_id, text, source): doc_id, size, source_size, target, taken, copies.
 
-    Sources in order of code point, null last, get ``weights`` in turn. ``carry`` names columns of
-    ``docs`` to keep in the result; by default the text itself is read once and left behind.
+    Sources in order of code point, null last, get ``weights`` in turn. The text is read once, for its size.
     """
+    return _mixed(docs, weights, share, max_epochs, seed, ()).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+def _mixed(docs: DataFrame, weights: Sequence[float], share: float, max_epochs: float, seed: int, carry: Sequence[str]) -> DataFrame:
+    """The columns of ``mix``, and each column in ``carry`` under the name ``__keep_...``."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
     h = F.xxhash64(F.col("doc_id"), F.lit(seed)).bitwiseAND(F.lit((1 << 48) - 1))
@@ -118,7 +122,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     rest = rows.filter(~F.col("__edge")).withColumn("__up", below)
     copies = F.col("whole") + F.col("__up").cast("long")
     return rest.unionByName(at_edge).select(
-        *[F.col(f"__keep_{c}").alias(c) for c in carry if c != "doc_id"],
+        *[F.col(f"__keep_{c}") for c in carry],
         "doc_id",
         "size",
         "source_size",
@@ -128,7 +132,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     )
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, max_epochs: float = 2.0, seed: int = 17) -> DataFrame:
     """The mix itself: each row of ``docs`` as many times as ``mix`` takes it, with the columns of ``docs``."""
-    taken = mix(docs, carry=docs.columns, **options)
-    return taken.filter("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    taken = _mixed(docs, weights, share, max_epochs, seed, docs.columns)
+    repeated = taken.filter("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return repeated.select(*[F.col(f"__keep_{c}").alias(c) for c in docs.columns])

@@ -71,8 +71,12 @@ def shard_of(key: Column, tree: Tree) -> Column:
 
 
 def shard(docs: DataFrame, shards: int = 16, carry: Sequence[str] = ()) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, size, text_crc32, law, shard, slot, grown_shard."""
+    """Per row of ``docs`` (doc_id, text): doc_id, size, text_crc32, law, shard, slot, grown_shard.
+
+    ``carry`` names columns of ``docs`` to keep; new columns replace any of the same name.
+    """
     spark = docs.sparkSession
+    carry = [c for c in carry if c not in ("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")]
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     slim = docs.select(
         *[F.col(c).alias(f"__keep_{c}") for c in carry],
@@ -95,7 +99,7 @@ def shard(docs: DataFrame, shards: int = 16, carry: Sequence[str] = ()) -> DataF
     if buckets * shards <= 100_000:  # three small numbers a row
         offsets = F.broadcast(offsets)
     return ranked.join(offsets, ["shard", "__b"]).select(
-        *[F.col(f"__keep_{c}").alias(c) for c in carry if c != "doc_id"],
+        *[F.col(f"__keep_{c}").alias(c) for c in carry],
         "doc_id",
         "size",
         "text_crc32",
