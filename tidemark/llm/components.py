@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
+#: Up to so many edges (of two numbers, 16 MB) a round's least neighbours are sent to every executor.
+BROADCAST_ROWS = 1_000_000
+
 
 def components(edges: DataFrame, scratch: Scratch, name: str = "stars") -> DataFrame:
     """From edges (a, b): (node, root) for every node on an edge; root is the least node it reaches.
@@ -16,31 +19,30 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "stars") -> DataF
     """
     spark = edges.sparkSession
 
-    def both(e: DataFrame) -> DataFrame:
-        return e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-
-    def state(e: DataFrame) -> tuple:
-        row = e.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long"))).first()
-        return row[0], row[1]
+    def side(df: DataFrame, rows: int) -> DataFrame:
+        return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
+    # every edge points from the greater to the lesser node
     current = scratch.write(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}0")
-    before, step = state(current), 0
-    while before[0]:
-        near = both(current)
+    rows, before, step = current.count(), None, 0
+    while rows:
+        near = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = near.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = near.filter("b > a").join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        # small star: every node and its smaller neighbours point at the least of them
+        # large star: greater neighbours move to the least node around
+        large = current.select(F.col("b").alias("near"), F.col("a").alias("node")).join(side(least.withColumnRenamed("a", "near"), rows), "near").select(F.col("node").alias("a"), F.col("m").alias("b")).distinct()
+        # small star: a node and its lesser neighbours move to the least of them
         down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(down.select("a", F.col("m").alias("b"))).distinct()
+        moved = large.join(side(down, rows), "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         step += 1
-        following = scratch.write(small, f"{name}{step}")
+        following = scratch.write(moved.unionByName(down.select("a", F.col("m").alias("b"))).distinct(), f"{name}{step}")
         scratch.drop(f"{name}{step - 1}")
-        after = state(following)
-        current = following
-        if after == before:
-            break
-        before = after
-    if not before[0]:
-        return spark.createDataFrame([], f"node {edges.schema['a'].dataType.simpleString()}, root {edges.schema['a'].dataType.simpleString()}")
+        state = following.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long")), F.count_distinct("a")).first()
+        current, rows = following, state[0]
+        if state == before or state[0] == state[2] and not current.join(side(current.select(F.col("b").alias("a")), rows), "a", "left_semi").limit(1).count():
+            break  # nothing moves any more: every node points at one other, and that at none
+        before = state
+    if not rows:
+        kind = edges.schema["a"].dataType.simpleString()
+        return spark.createDataFrame([], f"node {kind}, root {kind}")
     roots = current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return current.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)

@@ -17,9 +17,12 @@ What keeps the keys few and the join whole:
 * Keys of one batch are combined before the shuffle: one member is sent on, the others are tied to
   it. The members of a key thus form a tree of edges, never all pairs.
 * Each class first verifies the partner with which it shares most keys; links are contracted to
-  components. A key whose members all are in one component is done. In the others, members of
-  different components are paired with a growing range of members (never with those of their own
-  component) until none is left, so no link between components is missed.
+  components. A key whose members all are in one component is done. In the others, every member is
+  compared with one of them, the pivot, and known from then on by its difference from the pivot.
+  Two members whose differences are small link by way of the pivot (the triangle inequality). Any
+  other two that link must share parts of their differences, so a prefix-filtered join of the
+  differences (rare shingles first) finds them: groups of near copies that do not
+  link among themselves are never paired out.
 
 Edge cases: a null text or one without words has an empty set, is linked with nothing and is its own
 component; a text with fewer words than a shingle is one shingle; equal texts link; rows with a
@@ -35,6 +38,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,7 +53,6 @@ SAMPLE_DOCS, COMMON_FROM, MOST_COMMON = 10_000, 4, 200_000
 #: Tables of up to so many rows of two numbers (16 MB) are sent to every executor.
 BROADCAST_ROWS = 1_000_000
 _RATIO = 1.25
-_FIRST_RANKS = 16
 _U = np.uint64
 
 
@@ -110,8 +113,22 @@ def class_of(members: np.ndarray) -> int:
     return int(mix64(np.array([np.add.reduce(mix64(members ^ _U(0xA5A5A5A5A5A5A5A5))) + _U(len(members))], dtype=_U)).view(np.int64)[0])
 
 
-def _common(docs: DataFrame, shingle: int) -> np.ndarray:
-    """Shingles that stand in many texts of a bounded sample, sorted."""
+class Common:
+    """Shingles that stand in many texts of a bounded sample, and in how many."""
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
+        order = np.argsort(hashes)
+        self.hashes, self.counts = hashes[order], counts[order]
+
+    def of(self, members: np.ndarray) -> np.ndarray:
+        """In how many texts of the sample each member stands; 0 if that is not known to be many."""
+        if not len(self.hashes):
+            return np.zeros(len(members), dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, members), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == members, self.counts[at], 0)
+
+
+def _common(docs: DataFrame, shingle: int) -> Common:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,7 +140,7 @@ def _common(docs: DataFrame, shingle: int) -> np.ndarray:
     sample = bounded_sample(docs.select("doc_id", "text"), "doc_id", SAMPLE_DOCS, 23).select("text")
     counted = sample.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON_FROM)
     rows = counted.orderBy(F.desc("n"), "h").limit(MOST_COMMON).collect()
-    return np.sort(np.array([r[0] for r in rows], dtype=np.int64).view(_U))
+    return Common(np.array([r[0] for r in rows], dtype=np.int64).view(_U), np.array([r[1] for r in rows], dtype=np.int64))
 
 
 _SKETCHED = T.StructType(
@@ -137,9 +154,8 @@ _SKETCHED = T.StructType(
 )
 
 
-def _sketched(docs: DataFrame, shingle: int, bands: Bands) -> DataFrame:
+def _sketched(docs: DataFrame, shingle: int, bands: Bands, common: Broadcast) -> DataFrame:
     """Per row: doc_id, n, class; keys sent on, and keys tied to another class of the batch."""
-    common = docs.sparkSession.sparkContext.broadcast(_common(docs, shingle))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, seen = common.value, set()
@@ -151,11 +167,7 @@ def _sketched(docs: DataFrame, shingle: int, bands: Bands) -> DataFrame:
                     classes.append(class_of(members) if len(members) else None)
                     if len(members) and classes[-1] not in seen:
                         seen.add(classes[-1])
-                        rare = members
-                        if len(frequent):
-                            at = np.minimum(np.searchsorted(frequent, members), len(frequent) - 1)
-                            rare = members[frequent[at] != members]
-                        keys.append(keys_of(members, rare, bands).view(np.int64))
+                        keys.append(keys_of(members, members[frequent.of(members) == 0], bands).view(np.int64))
                     else:
                         keys.append(np.empty(0, np.int64))
             flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
@@ -187,33 +199,95 @@ def _side(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-class _Verifier:
-    """Checks pairs of classes on the whole sets of a text of each."""
+class _Texts:
+    """Texts of classes, for pairs of classes."""
 
-    def __init__(self, docs: DataFrame, members: DataFrame, shingle: int, percent: int):
-        self.docs, self.members, self.shingle, self.percent = docs, members, shingle, percent
+    def __init__(self, docs: DataFrame, members: DataFrame, shingle: int, percent: int, common: Broadcast):
+        self.docs, self.members, self.shingle, self.percent, self.common = docs, members, shingle, percent, common
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that link."""
-        shingle, percent = self.shingle, self.percent
+    def _beside(self, pairs: DataFrame) -> DataFrame:
+        """(a, b, text of a, text of b)."""
         wanted = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
         chosen = self.members.filter("doc_id is not null").join(wanted, "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
         texts = self.docs.select("doc_id", "text").join(_side(chosen), "doc_id").select("class", "text")
-        rows = pairs.join(texts.select(F.col("class").alias("a"), F.col("text").alias("text")), "a").join(texts.select(F.col("class").alias("b"), F.col("text").alias("other")), "b")
+        rows = pairs.select("a", "b").join(texts.select(F.col("class").alias("a"), F.col("text").alias("text")), "a").join(texts.select(F.col("class").alias("b"), F.col("text").alias("other")), "b")
+        return rows.select("a", "b", "text", "other")
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that link."""
+        shingle, percent = self.shingle, self.percent
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in chunks(batch, "text"):
-                    left, right = (shingle_sets(Words(part.column(k), SPACE_WORDS), shingle) for k in (2, 3))
-                    a, b = part.column(0).to_pylist(), part.column(1).to_pylist()
-                    keep = []
-                    for i, (x, y) in enumerate(zip(left, right, strict=True)):
-                        both = len(np.intersect1d(x, y, assume_unique=True))
-                        # rows that share a doc_id can have other texts: only the class's own text counts
-                        keep.append(100 * both >= percent * (len(x) + len(y) - both) and class_of(x) == a[i] and class_of(y) == b[i])
+                    keep = [percent * (len(x) + len(y) - both) <= 100 * both for _, _, x, y, both in _sets(part, shingle)]
                     yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-        return rows.select("a", "b", "text", "other").mapInArrow(run, "a long, b long").distinct()
+        return self._beside(pairs).mapInArrow(run, "a long, b long")
+
+    def differences(self, pairs: DataFrame) -> DataFrame:
+        """Of pairs (member a, pivot b): whether they link, the member's size and difference, and its join keys."""
+        shingle, percent, common = self.shingle, self.percent, self.common
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in chunks(batch, "text"):
+                    rows = []
+                    for a, b, x, y, both in _sets(part, shingle):
+                        linked = percent * (len(x) + len(y) - both) <= 100 * both
+                        rows.append((a, b, linked, len(x), len(x) + len(y) - 2 * both, difference_keys(b, x, y, percent, common.value).view(np.int64)))
+                    columns = zip(*rows, strict=True) if rows else [[]] * 6
+                    types = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], ["a", "b", "linked", "n", "d", "keys"])
+
+        return self._beside(pairs).mapInArrow(run, "a long, b long, linked boolean, n long, d long, keys array<long>")
+
+
+def _sets(part: pa.RecordBatch, shingle: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, int]]:
+    """Per row (a, b, their sets, members in both); rows whose doc_id stands for other texts too are passed over."""
+    left, right = (shingle_sets(Words(part.column(k), SPACE_WORDS), shingle) for k in (2, 3))
+    for a, b, x, y in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), left, right, strict=True):
+        if class_of(x) != a or class_of(y) != b:
+            x = y = np.empty(0, _U)
+            yield a, b, x, y, -1
+        else:
+            yield a, b, x, y, len(np.intersect1d(x, y, assume_unique=True))
+
+
+def difference_keys(pivot: int, x: np.ndarray, y: np.ndarray, percent: int, common: Common) -> np.ndarray:
+    """Join keys of a member's difference from its pivot.
+
+    With differences of ``d`` and ``e`` shingles from the pivot, two members that differ in at most ``most``
+    have |d - e| <= most and share at least (d + e - most) / 2 of their differences: the first d - that + 1
+    of them, in an order common to the pivot's group, must meet. Members are joined by bins of ``d`` so that
+    the bound is tight; far from the pivot one bin will do. (Two members that link are both beyond 5 times
+    ``most`` or both within 8 times, as their sizes differ by a quarter at most.)
+    """
+    fresh, gone = np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)
+    parts, d, n = np.concatenate([fresh, gone]), len(fresh) + len(gone), len(x)
+    # Rare in the pivot's group comes first, as far as the sample tells: a new shingle is rare if few texts have it,
+    # one of the pivot's is rarely lacking if many have it. Any order would do; this one lets few prefixes meet.
+    count, usual = common.of(parts), max(1.0, float(np.median(common.of(y))))
+    often = np.where(np.arange(d) < len(fresh), count / usual, np.maximum(0.0, 1.0 - count / usual))
+    parts = parts[np.lexsort((parts, np.arange(d) >= len(fresh), often))]
+    if not d or not n:
+        return np.empty(0, _U)
+    lose, gain = 100 - percent, 100 + percent
+    most, least = lose * (n + n * 100 // percent) // gain, lose * (n + -(-n * percent // 100)) // gain
+    width = max(1, -(-(lose * (len(y) + len(y) * 100 // percent) // gain) // 3))
+    seed = mix64(np.array([pivot], dtype=np.int64).view(_U))
+    out = []
+    if d > 5 * most:
+        out.append(mix64(parts[: most + 1] ^ seed ^ _U(1)))
+    if d <= 8 * most:
+        own = d // width
+        for other in range(max(0, d - most) // width, (d + most) // width + 1):
+            if d + (other + 1) * width - 1 <= least:
+                continue  # such pairs link by way of the pivot
+            share = max(1, -(-(d + other * width - most) // 2))
+            label = mix64(np.array([min(own, other) << 32 | max(own, other)], dtype=_U)) ^ seed
+            out.append(mix64(parts[: d - share + 1] ^ label))
+    return np.concatenate(out) if out else np.empty(0, _U)
 
 
 def join(docs: DataFrame, shingle: int = 3, percent: int = 90) -> DataFrame:
@@ -221,9 +295,10 @@ def join(docs: DataFrame, shingle: int = 3, percent: int = 90) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "simjoin")
     bands = Bands(percent)
-    sketched = scratch.write(_sketched(docs, shingle, bands), "sketched")
+    common = spark.sparkContext.broadcast(_common(docs, shingle))  # at most MOST_COMMON pairs of numbers
+    sketched = scratch.write(_sketched(docs, shingle, bands, common), "sketched")
     members = sketched.select("doc_id", "n", "class")
-    roots = _roots(docs, sketched, scratch, _Verifier(docs, members, shingle, percent), percent)
+    roots = _roots(docs, sketched, scratch, _Texts(docs, members, shingle, percent, common), percent)
     some = members.filter("n > 0")
     if roots is not None:
         some = some.join(roots.withColumnRenamed("node", "class"), "class", "left")
@@ -237,7 +312,7 @@ def join(docs: DataFrame, shingle: int = 3, percent: int = 90) -> DataFrame:
     return found.unionByName(none)
 
 
-def _roots(docs: DataFrame, sketched: DataFrame, scratch: Scratch, verifier: _Verifier, percent: int) -> DataFrame | None:
+def _roots(docs: DataFrame, sketched: DataFrame, scratch: Scratch, texts: _Texts, percent: int) -> DataFrame | None:
     """(node, root) of the classes that link with another, or None if none does."""
     sent = sketched.select(F.col("class").alias("a"), F.explode("sent").alias("key"))
     # equal sets come from several tasks: a class does not pair with itself
@@ -245,41 +320,45 @@ def _roots(docs: DataFrame, sketched: DataFrame, scratch: Scratch, verifier: _Ve
     chained = sent.withColumn("b", before).filter("b is not null and b <> a").select("key", "a", "b")
     tied = sketched.filter("size(tied) > 0").select(F.col("class").alias("a"), F.explode(F.arrays_zip("tied", "ties")).alias("__t")).select(F.col("__t.tied").alias("key"), "a", F.col("__t.ties").alias("b"))
     edges = scratch.write(chained.unionByName(tied), "edges")
-    sizes = sketched.filter("n > 0").groupBy("class").agg(F.first("n").alias("n"))
     pairs = edges.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
     best = pairs.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
     best = scratch.write(best.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs0")
-    links = scratch.write(verifier.links(best), "links0")
+    links = scratch.write(texts.links(best), "links0")
     roots = scratch.write(components(links, scratch, "c0_"), "roots0")
-    checked, all_links = best, links
-    low, high, step = 0, _FIRST_RANKS, 0
-    while True:
-        side = _side(roots)
-        root_of = lambda df, c, out, side=side: df.join(side.select(F.col("node").alias(c), F.col("root").alias(out)), c, "left").withColumn(out, F.coalesce(out, c))
-        apart = root_of(root_of(edges, "a", "ra"), "b", "rb").filter("ra <> rb").select("key").distinct()
-        open_ = edges.join(apart, "key", "left_semi")
-        nodes = open_.select("key", F.col("a").alias("x")).unionByName(open_.select("key", F.col("b").alias("x"))).distinct()
-        nodes = root_of(nodes, "x", "r").join(sizes.withColumnRenamed("class", "x"), "x")
-        nodes = nodes.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("x")) - 1)
-        step += 1
-        nodes = scratch.write(nodes, f"nodes{step}")
-        widest = nodes.agg(F.max("rank")).first()[0]
-        if widest is None or widest <= low:
-            break
-        centre = nodes.filter((F.col("rank") >= low) & (F.col("rank") < high)).select("key", F.col("x").alias("b"), F.col("r").alias("rb"), F.col("n").alias("nb"), F.col("rank").alias("kb"))
-        met = nodes.join(centre, "key").filter((F.col("rank") > F.col("kb")) & (F.col("r") != F.col("rb")))
-        met = met.filter(100 * F.least("n", "nb") >= percent * F.greatest("n", "nb"))
-        fresh = met.select(F.greatest("x", "b").alias("a"), F.least("x", "b").alias("b")).distinct().join(checked, ["a", "b"], "left_anti")
-        fresh = scratch.write(fresh, f"pairs{step}")
-        scratch.drop(f"nodes{step}")
-        more = scratch.write(verifier.links(fresh), f"links{step}")
-        checked, low, high = checked.unionByName(fresh), high, high * 2
+    nodes = scratch.write(_open_keys(edges, roots), "nodes")
+    spokes = nodes.filter("x <> p").select(F.col("x").alias("a"), F.col("p").alias("b")).distinct()
+    known = scratch.write(texts.differences(scratch.write(spokes, "spokes")), "differences")
+    spoken = known.filter("linked").select("a", "b")
+    if spoken.limit(1).count():
+        links = links.unionByName(spoken)
+        roots = scratch.write(components(links, scratch, "c1_"), "roots1")
+    by_root = _side(roots)
+    told = known.join(by_root.withColumnRenamed("node", "a"), "a", "left").select("a", "n", "d", F.coalesce("root", "a").alias("r"), F.explode("keys").alias("key"))
+    one, two = told.select("key", *[F.col(c).alias(f"{c}1") for c in "andr"]), told.select("key", *[F.col(c).alias(f"{c}2") for c in "andr"])
+    met = one.join(two, "key").filter((F.col("a1") > F.col("a2")) & (F.col("r1") != F.col("r2")) & (100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2")))
+    met = met.filter(F.abs(F.col("d1") - F.col("d2")) * (100 + percent) <= (100 - percent) * (F.col("n1") + F.col("n2")))
+    fresh = scratch.write(met.select(F.col("a1").alias("a"), F.col("a2").alias("b")).distinct(), "pairs1")
+    if fresh.limit(1).count():
+        more = scratch.write(texts.links(fresh), "links1")
         if more.limit(1).count():
-            all_links = all_links.unionByName(more)
-            roots = scratch.write(components(all_links, scratch, f"c{step}_"), f"roots{step}")
+            roots = scratch.write(components(links.unionByName(more), scratch, "c2_"), "roots2")
     return roots
 
 
+def _open_keys(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of the keys that more than one component shares: (key, x, p: the key's pivot)."""
+    side = _side(roots)
+
+    def root_of(df: DataFrame, c: str, out: str) -> DataFrame:
+        return df.join(side.select(F.col("node").alias(c), F.col("root").alias(out)), c, "left").withColumn(out, F.coalesce(out, c))
+
+    # the edges of a key are a tree of its members: they meet in one component if no edge leaves it
+    rooted = root_of(root_of(edges, "a", "ra"), "b", "rb")
+    pivots = rooted.groupBy("key").agg(F.min(F.least("a", "b")).alias("p"), F.max((F.col("ra") != F.col("rb")).cast("int")).alias("apart")).filter("apart = 1")
+    open_ = edges.join(pivots, "key")
+    return open_.select("key", F.col("a").alias("x"), "p").unionByName(open_.select("key", F.col("b").alias("x"), "p"))
+
+
 def near_duplicates_removed(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one row of each component: that of the least doc_id.
 
