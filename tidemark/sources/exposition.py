@@ -124,7 +124,7 @@ def metadata(lines: DataFrame, column: str = "value") -> DataFrame:
     text = F.trim(F.col(column))
     part = lambda kind, n: F.regexp_extract(text, rf"(?s)^#\s*{kind}\s+(\S+)\s*(.*)$", n)
     kind = F.when(part("TYPE", 2).isin(*TYPES), part("TYPE", 2)).otherwise("untyped")
-    note = F.regexp_replace(F.replace(F.replace(part("HELP", 2), F.lit("\\\\"), F.lit("\0")), F.lit("\\n"), F.lit("\n")), "\0", r"\\\\")
+    note = F.replace(F.replace(F.replace(part("HELP", 2), F.lit("\\\\"), F.lit("\0")), F.lit("\\n"), F.lit("\n")), F.lit("\0"), F.lit("\\"))
     rows = lines.select(F.when(part("TYPE", 1) != "", part("TYPE", 1)).when(part("HELP", 1) != "", part("HELP", 1)).alias("name"), F.when(part("TYPE", 1) != "", kind).alias("type"), F.when(part("HELP", 1) != "", note).alias("help"))
     return rows.filter("name is not null").groupBy("name").agg(F.coalesce(F.max("type"), F.lit("untyped")).alias("type"), F.coalesce(F.max("help"), F.lit("")).alias("help"))
 

@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import datasets
+from .alerts import evaluate
 from .engine import Engine
+from .functions.labels import text_of
+from .sources import exposition, push
+from .store import keep_first
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -264,3 +268,49 @@ add(
     ranged("sum by (o_orderstatus) (sum_over_time(order_price[30d]))", ("o_orderstatus",), (80, _MONTH), datasets.order_price, start=_SHIPPED),
     f"WITH {steps((80, _MONTH), _SHIPPED)} SELECT o_orderstatus, s AS step_ts, round(sum(o_totalprice), 6) AS v FROM orders JOIN st ON epoch_us(o_orderdate) // 1000 BETWEEN s - {_MONTH} AND s GROUP BY ALL",
 )
+
+# ---- ingestion and alerts ----
+
+
+def _pushed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a pushed request; of a series' samples at one time the first is kept."""
+    events = datasets.table(spark, sf_dir, "events")
+    sample = F.struct(datasets.millis(F.col("ts")).alias("timestamp_ms"), F.col("value").alias("value"))
+    series = F.struct(F.lit("event_value").alias("name"), F.create_map(F.lit("event_type"), F.col("event_type"), F.lit("job"), F.lit("client")).alias("labels"), F.array(sample).alias("samples"))
+    body = F.to_json(F.struct(F.lit("events").alias("job"), F.col("user_id").cast("string").alias("instance"), F.array(series).alias("series")))
+    requests = events.select(F.col("event_id").alias("request_id"), body.alias("body"), F.lit("host").alias("remote_host"), F.lit(0).cast("long").alias("received_ms"))
+    rows = push.samples(requests).withColumn("sid", F.xxhash64(text_of(F.col("labels")))).withColumn("arrival", F.col("request_id"))
+    return keep_first(rows).select(*[F.col("labels")[n].alias(n) for n in ("event_type", "instance", "job")], "t", "v")
+
+
+def _exposed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a line of text, parsed."""
+    events = datasets.table(spark, sf_dir, "events")
+    line = F.format_string('event_value{user_id="%d",event_type="%s"} %s %d', "user_id", "event_type", F.col("value").cast("string"), datasets.millis(F.col("ts")))
+    rows = exposition.samples(events.select(line.alias("value")))
+    return rows.select(*[F.col("labels")[n].alias(n) for n in BY_EVENT], F.col("timestamp_ms").alias("t"), "v")
+
+
+_RULE_AT = START + 5 * DAY
+
+
+def _alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule evaluated twice: what the second evaluation makes of each instance."""
+    engine = Engine(datasets.event_value(spark, sf_dir), LOOKBACK)
+    rule = evaluate.Rule("loud", "loud users", "sum by (user_id) (event_value) > 50", "warning")
+    known = evaluate.transitions(spark.createDataFrame([], evaluate.INSTANCES), evaluate.observed(engine, rule, _RULE_AT), rule, _RULE_AT, cap=1 << 30)
+    after = evaluate.transitions(known, evaluate.observed(engine, rule, _RULE_AT + 3 * HOUR), rule, _RULE_AT + 3 * HOUR, cap=1 << 30)
+    return after.select(F.col("labels")["user_id"].alias("user_id"), "before", "state", F.round("value", 6).alias("value"))
+
+
+add("ingest_push", _pushed, "SELECT event_type, CAST(user_id AS VARCHAR) AS instance, 'events' AS job, epoch_us(ts) // 1000 AS t, arg_min(value, event_id) AS v FROM events GROUP BY ALL")
+add("ingest_exposition", _exposed, "SELECT CAST(user_id AS VARCHAR) AS user_id, event_type, epoch_us(ts) // 1000 AS t, value AS v FROM events")
+add(
+    "alert_transitions",
+    _alerts,
+    f"""WITH {EV},
+a AS (SELECT user_id, sum(v) AS v FROM (SELECT user_id, event_type, arg_max(v, t) AS v FROM ev WHERE t BETWEEN {_RULE_AT - LOOKBACK} AND {_RULE_AT} GROUP BY ALL) GROUP BY user_id HAVING sum(v) > 50),
+b AS (SELECT user_id, sum(v) AS v FROM (SELECT user_id, event_type, arg_max(v, t) AS v FROM ev WHERE t BETWEEN {_RULE_AT + 3 * HOUR - LOOKBACK} AND {_RULE_AT + 3 * HOUR} GROUP BY ALL) GROUP BY user_id HAVING sum(v) > 50)
+SELECT coalesce(a.user_id, b.user_id) AS user_id, CASE WHEN a.v IS NULL THEN 'ok' ELSE 'firing' END AS before, CASE WHEN b.v IS NULL THEN 'resolved' ELSE 'firing' END AS state, round(coalesce(b.v, a.v), 6) AS value
+FROM a FULL JOIN b ON a.user_id = b.user_id""",
+)
