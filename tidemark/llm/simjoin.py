@@ -17,8 +17,9 @@ What keeps the keys few and the join whole:
 * Keys of one batch are combined before the shuffle: one member is sent on, the others are tied to
   it. The members of a key thus form a tree of edges, never all pairs.
 * Each class first verifies the partner with which it shares most keys; links are contracted to
-  components. A key whose members all are in one component is done. In the others, every member is
-  compared with one of them, the pivot, and known from then on by its difference from the pivot.
+  components. A key whose members all are in one component is done. The others tie their members into
+  groups; every member is compared with one of its group, the pivot, and known from then on by its
+  difference from the pivot.
   Two members whose differences are small link by way of the pivot (the triangle inequality). Any
   other two that link must share parts of their differences, so a prefix-filtered join of the
   differences (rare shingles first) finds them: groups of near copies that do not
@@ -325,9 +326,10 @@ def _roots(docs: DataFrame, sketched: DataFrame, scratch: Scratch, texts: _Texts
     best = scratch.write(best.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs0")
     links = scratch.write(texts.links(best), "links0")
     roots = scratch.write(components(links, scratch, "c0_"), "roots0")
-    nodes = scratch.write(_open_keys(edges, roots), "nodes")
-    spokes = nodes.filter("x <> p").select(F.col("x").alias("a"), F.col("p").alias("b")).distinct()
-    known = scratch.write(texts.differences(scratch.write(spokes, "spokes")), "differences")
+    # all that open keys tie together has one pivot, so each class is compared with one other
+    groups = scratch.write(components(_open_edges(edges, roots), scratch, "g_"), "groups")
+    spokes = groups.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    known = scratch.write(texts.differences(spokes), "differences")
     spoken = known.filter("linked").select("a", "b")
     if spoken.limit(1).count():
         links = links.unionByName(spoken)
@@ -345,18 +347,16 @@ def _roots(docs: DataFrame, sketched: DataFrame, scratch: Scratch, texts: _Texts
     return roots
 
 
-def _open_keys(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members of the keys that more than one component shares: (key, x, p: the key's pivot)."""
+def _open_edges(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """Edges (a, b) of the keys that more than one component shares."""
     side = _side(roots)
 
     def root_of(df: DataFrame, c: str, out: str) -> DataFrame:
         return df.join(side.select(F.col("node").alias(c), F.col("root").alias(out)), c, "left").withColumn(out, F.coalesce(out, c))
 
     # the edges of a key are a tree of its members: they meet in one component if no edge leaves it
-    rooted = root_of(root_of(edges, "a", "ra"), "b", "rb")
-    pivots = rooted.groupBy("key").agg(F.min(F.least("a", "b")).alias("p"), F.max((F.col("ra") != F.col("rb")).cast("int")).alias("apart")).filter("apart = 1")
-    open_ = edges.join(pivots, "key")
-    return open_.select("key", F.col("a").alias("x"), "p").unionByName(open_.select("key", F.col("b").alias("x"), "p"))
+    apart = root_of(root_of(edges, "a", "ra"), "b", "rb").filter("ra <> rb").select("key").distinct()
+    return edges.join(apart, "key", "left_semi").select("a", "b")
 
 
 def near_duplicates_removed(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
