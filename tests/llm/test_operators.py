@@ -263,6 +263,73 @@ def test_bands_lose_no_pair():
                     assert differ == 0 or any(segments - spare - 1 >= differ for _, segments, spare in shared)
 
 
+def _hashes(text, k=3):
+    return shingle_sets(Words(pa.array([text]), SPACE_WORDS), k)[0]
+
+
+def test_linked_members_share_a_difference_key():
+    none = simjoin.Common(np.empty(0, np.uint64), np.empty(0, np.int64))
+    base = [f"w{i}" for i in range(20)]
+    a = base[:8] + ["x", "y"] + base[10:19]
+    pivot, one, two = (_hashes(" ".join(w)) for w in (base, a, [*a, "w19"]))
+    keys = [simjoin.difference_keys(1, x, pivot, 90, none) for x in (one, two)]
+    assert len(np.intersect1d(one, two)) == 17 and len(np.union1d(one, two)) == 18
+    assert len(np.intersect1d(*keys))
+    # real keys of small sets: the pivot, a member at any distance, and another that differs by as much as links
+    for percent, sizes in ((90, range(9, 31)), (80, range(4, 27))):
+        for n in sizes:
+            for away in range(1, n):
+                x = np.arange(1, n + 1, dtype=np.uint64)
+                y = np.concatenate([x[away // 2 :], np.arange(1000, 1000 + away - away // 2, dtype=np.uint64)])
+                got = simjoin.difference_keys(1, x, y, percent, none)
+                for add in (True, False):
+                    other = np.append(x, np.uint64(500)) if add else x[:-1]
+                    both, union = min(n, len(other)), max(n, len(other))
+                    if 100 * both < percent * union:
+                        continue
+                    by_pivot = all(100 * len(np.intersect1d(z, y)) >= percent * len(np.union1d(z, y)) for z in (x, other))
+                    assert by_pivot or len(np.intersect1d(got, simjoin.difference_keys(1, other, y, percent, none))), (percent, n, away, add)
+
+
+@pytest.mark.parametrize("percent", [80, 90, 95])
+def test_linked_members_are_near_or_far_together(percent):
+    for n in range(1, 40):
+        for m in range(n, n * 100 // percent + 1):
+            most = (100 - percent) * (n + m) // (100 + percent)
+            for d in range(1, 9 * simjoin.most_of(m * 100 // percent, percent) + 3):
+                for e in range(max(1, d - most), d + most + 1):
+                    assert any(one and two for one, two in zip(simjoin.regions(n, d, percent), simjoin.regions(m, e, percent), strict=True)), (n, m, d, e)
+
+
+def test_short_variants_of_one_text(spark):
+    rnd, base = random.Random(12), [f"w{i}" for i in range(20)]
+    rows = []
+    for i in range(3000):
+        w = list(base)
+        for _ in range(rnd.randint(0, 3)):
+            w[rnd.randrange(20)] = f"v{rnd.randrange(6)}"
+        rows.append((i, " ".join(w[: rnd.choice([18, 19, 20])])))
+    sets = [set(zip(t.split(), t.split()[1:], t.split()[2:], strict=False)) for _, t in rows]
+    at = {g: k for k, g in enumerate(sorted(set().union(*sets)))}
+    has = np.zeros((len(rows), len(at)), np.float32)
+    for i, s in enumerate(sets):
+        has[i, [at[g] for g in s]] = 1
+    both, size = has @ has.T, has.sum(1)
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    for i, j in np.argwhere(100 * both >= 90 * (size[:, None] + size[None, :] - both)).tolist():
+        if i < j:
+            i, j = sorted((find(i), find(j)))
+            root[j] = i
+    got = {r.doc_id: r.component_id for r in simjoin.join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()}
+    assert got == {i: find(i) for i in range(len(rows))}
+
+
 # ---- 7: licences ----
 
 

@@ -255,14 +255,28 @@ def _sets(part: pa.RecordBatch, shingle: int) -> Iterator[tuple[int, int, np.nda
             yield a, b, x, y, len(np.intersect1d(x, y, assume_unique=True))
 
 
+def most_of(n: int, percent: int) -> int:
+    """By how many shingles a set of ``n`` and any that links with it differ at most."""
+    return (100 - percent) * (n + n * 100 // percent) // (100 + percent)
+
+
+def regions(n: int, d: int, percent: int) -> tuple[bool, bool]:
+    """Whether a set of ``n`` shingles, ``d`` from its pivot, sends bin keys (near) and whether it sends far keys.
+
+    Two sets that link send a kind in common: one that sends no bin keys has d > 5 * most_of(largest) + most_of(n),
+    so its partner has e >= d - most_of(n) > 5 * most_of(largest), no less than 5 times the partner's own bound.
+    """
+    most, largest = most_of(n, percent), n * 100 // percent
+    return d <= 5 * most_of(largest, percent) + most, d > 5 * most
+
+
 def difference_keys(pivot: int, x: np.ndarray, y: np.ndarray, percent: int, common: Common) -> np.ndarray:
     """Join keys of a member's difference from its pivot.
 
     With differences of ``d`` and ``e`` shingles from the pivot, two members that differ in at most ``most``
     have |d - e| <= most and share at least (d + e - most) / 2 of their differences: the first d - that + 1
     of them, in an order common to the pivot's group, must meet. Members are joined by bins of ``d`` so that
-    the bound is tight; far from the pivot one bin will do. (Two members that link are both beyond 5 times
-    ``most`` or both within 8 times, as their sizes differ by a quarter at most.)
+    the bound is tight; far from the pivot one bin will do (``regions`` says who sends which).
     """
     fresh, gone = np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)
     parts, d, n = np.concatenate([fresh, gone]), len(fresh) + len(gone), len(x)
@@ -274,13 +288,14 @@ def difference_keys(pivot: int, x: np.ndarray, y: np.ndarray, percent: int, comm
     if not d or not n:
         return np.empty(0, _U)
     lose, gain = 100 - percent, 100 + percent
-    most, least = lose * (n + n * 100 // percent) // gain, lose * (n + -(-n * percent // 100)) // gain
-    width = max(1, -(-(lose * (len(y) + len(y) * 100 // percent) // gain) // 3))
+    most, least = most_of(n, percent), lose * (n + -(-n * percent // 100)) // gain
+    width = max(1, -(-most_of(len(y), percent) // 3))
+    near, far = regions(n, d, percent)
     seed = mix64(np.array([pivot], dtype=np.int64).view(_U))
     out = []
-    if d > 5 * most:
+    if far:
         out.append(mix64(parts[: most + 1] ^ seed ^ _U(1)))
-    if d <= 8 * most:
+    if near:
         own = d // width
         for other in range(max(0, d - most) // width, (d + most) // width + 1):
             if d + (other + 1) * width - 1 <= least:
