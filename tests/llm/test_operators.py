@@ -330,6 +330,29 @@ def test_short_variants_of_one_text(spark):
     assert got == {i: find(i) for i in range(len(rows))}
 
 
+@pytest.mark.parametrize("where", ["bridge", "pivot"])
+def test_null_ids_link_others(spark, where):
+    base = [f"w{i}" for i in range(40)]
+    if where == "bridge":  # ends that link only by way of the text in the middle, whose rows have no id
+        one, other = [*base[:-2], "x", "y"], ["u", "v", *base[2:]]
+        rows = [(1, " ".join(one)), (2, " ".join(other)), (None, " ".join(base)), (None, " ".join(base)), (None, " ".join(base))]
+        linked = [{1, 2}]
+    else:  # pairs around texts without id, each of which may be the pivot of the group of all
+        rows, linked = [], []
+        for k in range(12):
+            w = [*base[: 20 - k], *[f"k{k}_{j}" for j in range(20)], *base[20 - k :]]
+            rows += [(None, " ".join([*w, f"n{k}"])), (2 * k, " ".join(w)), (2 * k + 1, " ".join([*w, f"z{k}"]))]
+            linked.append({2 * k, 2 * k + 1})
+        rows += [(None, " ".join(base[:j] + ["q", str(j)] + base[j:])) for j in range(0, 40, 4)]
+    got = simjoin.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    groups = {}
+    for r in got:
+        if r.doc_id is not None:
+            groups.setdefault(r.component_id, set()).add(r.doc_id)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, linked))
+
+
 # ---- 7: licences ----
 
 

@@ -146,6 +146,7 @@ def _common(docs: DataFrame, shingle: int) -> Common:
 
 _SKETCHED = T.StructType(
     [
+        T.StructField("h", T.LongType()),
         T.StructField("n", T.LongType()),
         T.StructField("class", T.LongType()),
         T.StructField("sent", T.ArrayType(T.LongType())),
@@ -156,14 +157,14 @@ _SKETCHED = T.StructType(
 
 
 def _sketched(docs: DataFrame, shingle: int, bands: Bands, common: Broadcast) -> DataFrame:
-    """Per row: doc_id, n, class; keys sent on, and keys tied to another class of the batch."""
+    """Per row: doc_id, hash of the text, n, class; keys sent on, and keys tied to another class of the batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, seen = common.value, set()
         for batch in batches:
             sizes, classes, keys = [], [], []
             for part in chunks(batch):
-                for members in shingle_sets(Words(part.column(1), SPACE_WORDS), shingle):
+                for members in shingle_sets(Words(part.column(2), SPACE_WORDS), shingle):
                     sizes.append(len(members))
                     classes.append(class_of(members) if len(members) else None)
                     if len(members) and classes[-1] not in seen:
@@ -188,11 +189,11 @@ def _sketched(docs: DataFrame, shingle: int, bands: Bands, common: Broadcast) ->
                 return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(values[mask]))
 
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), lists(flat, sent), lists(flat, ~sent), lists(to, ~sent)],
-                ["doc_id", "n", "class", "sent", "tied", "ties"],
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), lists(flat, sent), lists(flat, ~sent), lists(to, ~sent)],
+                ["doc_id", "h", "n", "class", "sent", "tied", "ties"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, T.StructType([docs.schema["doc_id"], *_SKETCHED.fields]))
+    return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(run, T.StructType([docs.schema["doc_id"], *_SKETCHED.fields]))
 
 
 def _side(df: DataFrame) -> DataFrame:
@@ -203,14 +204,22 @@ def _side(df: DataFrame) -> DataFrame:
 class _Texts:
     """Texts of classes, for pairs of classes."""
 
-    def __init__(self, docs: DataFrame, members: DataFrame, shingle: int, percent: int, common: Broadcast):
+    def __init__(self, docs: DataFrame, members: DataFrame, shingle: int, percent: int, common: Broadcast, scratch: Scratch):
         self.docs, self.members, self.shingle, self.percent, self.common = docs, members, shingle, percent, common
+        self.scratch, self.calls = scratch, 0
 
     def _beside(self, pairs: DataFrame) -> DataFrame:
         """(a, b, text of a, text of b)."""
         wanted = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-        chosen = self.members.filter("doc_id is not null").join(wanted, "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-        texts = self.docs.select("doc_id", "text").join(_side(chosen), "doc_id").select("class", "text")
+        # a class is addressed by id and text of one of its rows, with a null id only if it has no other
+        rows_of = self.members.join(wanted, "class", "left_semi").groupBy("class", "doc_id", "h").agg(F.count(F.lit(1)).alias("rows"))
+        chosen = rows_of.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h", "rows")).alias("c"))
+        self.calls += 1
+        chosen = self.scratch.write(chosen.select("class", F.col("c.doc_id").alias("__id"), F.col("c.h").alias("__h"), F.col("c.rows").alias("__rows")), f"chosen{self.calls}")
+        side = _side(chosen)
+        texts = self.docs.select("doc_id", "text").join(side, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__h"))).select("class", "text")
+        if chosen.filter("__rows > 1").limit(1).count():
+            texts = texts.dropDuplicates(["class"])
         rows = pairs.select("a", "b").join(texts.select(F.col("class").alias("a"), F.col("text").alias("text")), "a").join(texts.select(F.col("class").alias("b"), F.col("text").alias("other")), "b")
         return rows.select("a", "b", "text", "other")
 
@@ -245,7 +254,7 @@ class _Texts:
 
 
 def _sets(part: pa.RecordBatch, shingle: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, int]]:
-    """Per row (a, b, their sets, members in both); rows whose doc_id stands for other texts too are passed over."""
+    """Per row (a, b, their sets, members in both); texts of another class (whose hashes meet) are passed over."""
     left, right = (shingle_sets(Words(part.column(k), SPACE_WORDS), shingle) for k in (2, 3))
     for a, b, x, y in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), left, right, strict=True):
         if class_of(x) != a or class_of(y) != b:
@@ -313,8 +322,8 @@ def join(docs: DataFrame, shingle: int = 3, percent: int = 90) -> DataFrame:
     bands = Bands(percent)
     common = spark.sparkContext.broadcast(_common(docs, shingle))  # at most MOST_COMMON pairs of numbers
     sketched = scratch.write(_sketched(docs, shingle, bands, common), "sketched")
-    members = sketched.select("doc_id", "n", "class")
-    roots = _roots(docs, sketched, scratch, _Texts(docs, members, shingle, percent, common), percent)
+    members = sketched.select("doc_id", "h", "n", "class")
+    roots = _roots(docs, sketched, scratch, _Texts(docs, members, shingle, percent, common, scratch), percent)
     some = members.filter("n > 0")
     if roots is not None:
         some = some.join(roots.withColumnRenamed("node", "class"), "class", "left")
