@@ -483,3 +483,16 @@ def test_contexts_discover_identifiers(spark):
     rows += [(10, "also card no. AB12345678 and"), (11, "see room XY12345678"), (12, 'key="zz99zz99zz"')]
     got = {r.doc_id: r.spans for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[10] == "id:14:24" and got[11] == "" and got[12] == "" and got[0] == "card:16:32"
+
+
+def test_every_kind_discovers_its_shapes(spark):
+    rows = [(i, f"please mail {n}@b{n}.org soon") for i, n in enumerate("abcdef")] + [(10, "please mail jo at home.org soon"), (11, "please mail jo@localhost soon"), (12, "please mail jo (at) home (dot) org")]
+    rows += [(20 + i, f"from host 10.0.0.{i} today") for i in range(4)] + [(30, "from host 10.0.0.256 today"), (31, "from host 10.0.7 today")]
+    rows += [(40 + i, f"just call +1 (487) 555-720{i} now") for i in range(4)] + [(50, "just call (487) 555-7209 now"), (51, "just call 487-555-7209 now")]
+    rows += [(60, "look at home.org or (487) 555-7209 or 10.0.0.256"), (61, "host jo@localhost")]
+    # a context shared evenly by cards and phones is one of neither
+    rows += [(70 + i, f"seen in 411111111111{x} there") for i, x in enumerate(("1111", "1129", "1137"))] + [(80 + i, f"seen in +1 487 555 800{i} there") for i in range(3)] + [(90, "seen in 4111111111111112 there")]
+    got = {r.doc_id: r.spans for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: got[i] for i in (10, 11, 12)} == {10: "id:12:26", 11: "id:12:24", 12: "id:12:34"}
+    assert {i: got[i] for i in (30, 31, 50, 51)} == {30: "id:10:20", 31: "id:10:16", 50: "id:10:24", 51: "id:10:22"}
+    assert {i: got[i] for i in (60, 61, 90)} == {60: "", 61: "", 90: ""}

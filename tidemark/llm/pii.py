@@ -1,12 +1,13 @@
 """Personal data: exact patterns, and bootstrapped contextual extraction of further identifiers.
 
-Base spans come from four fixed patterns with their checks. The method then looks at candidates,
-runs of letters and digits with a digit and at least ``SHORTEST`` characters, and their contexts (the
-last word before them, and the last two). Candidates that a base span covers are seeds. A bipartite graph of contexts and
-candidate values is scored ``ROUNDS`` times: a context by the mean score of its values, a value by the
-best of its contexts (seeds stay at 1). Contexts with a score of ``CONFIDENCE`` and values enough
-discover the other candidates that stand in them; those that overlap no base span are added under
-the kind ``id``.
+Base spans come from four fixed patterns with their checks. The method then looks at candidates:
+names at a host, numbers with separators, and runs of letters and digits with a digit and at least
+``SHORTEST`` characters; those that overlap a base span are left out. Every base span is a seed of its
+kind. An item competes for the kinds that its form allows (``_forms``) in its contexts (the last word before
+it, and the last two). For each kind, a bipartite graph of contexts and values is scored ``ROUNDS`` times: a
+context by the mean score of its values, a value by the best of its contexts (seeds stay at 1). Contexts
+with a score of ``CONFIDENCE`` and values enough for a kind discover the candidates in them
+that compete for it; those are added under the kind ``id``.
 
 All of it is DataFrame functions. Matches are exploded and placed by a running sum over one text's
 matches, so a text with very many is one sort, not an array built step by step. The graph is summed
@@ -38,7 +39,18 @@ KINDS: tuple[tuple[str, str, str], ...] = (
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]"),
 )
 SHORTEST = 8
-CANDIDATE = rf"(?<![A-Za-z0-9])(?=[A-Za-z]*+[0-9])[A-Za-z0-9]{{{SHORTEST},}}+"
+_AT, _DOT = r"(?:@|\x20?[(\[](?i:at)[)\]]\x20?|\x20(?i:at)\x20(?=[A-Za-z0-9-]++(?:\.[A-Za-z0-9]|\x20?[(\[](?i:dot)[)\]]|\x20(?i:dot)\x20)))", r"(?:\.|\x20?[(\[](?i:dot)[)\]]\x20?|\x20(?i:dot)\x20)"
+#: A name at a host, also spelled out; a number of 2 to 10 groups of digits; a run of letters and digits.
+CANDIDATE = "|".join(
+    (
+        rf"(?<![{_LOCAL}])[{_LOCAL}]++{_AT}[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)*+",
+        r"(?<![A-Za-z0-9])(?<![0-9][\x20.()/-]{1,2})\+?\(?[0-9]++(?:[\x20.()/-]{1,2}+[0-9]++){1,9}+(?![A-Za-z0-9])(?![\x20.()/-]{1,2}[0-9])",
+        rf"(?<![A-Za-z0-9])(?=[A-Za-z]*+[0-9])[A-Za-z0-9]{{{SHORTEST},}}+",
+    )
+)
+_SPELLED = r"(?i)[(\[]at[)\]]|\x20at\x20[A-Za-z0-9-]++(?:\.[A-Za-z0-9]|\x20?[(\[]dot|\x20dot\x20)"
+#: A candidate number has so many digits, or three groups with dots between them.
+DIGITS = (7, 20)
 ROUNDS, CONFIDENCE, SUPPORT = 3, 0.6, 3
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 
@@ -58,6 +70,17 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(each, F.lit(0), lambda a, x: a + x) % 10 == 0
 
 
+_DOTTED, _NUMBER = r"\A[0-9]+(?:\.[0-9]+){2,}\z", r"\A[0-9+()\x20./-]+\z"
+
+
+def _forms(kind: Column, value: Column) -> Column:
+    """The kinds that an item competes for: a base span for its own too."""
+    kinds = lambda *k: F.array(*map(F.lit, k))
+    plain = value.rlike(r"\A[A-Za-z0-9]+\z")
+    form = F.when(value.rlike(_DOTTED), kinds(1, 2, 3)).when(value.rlike(_NUMBER), kinds(2, 3)).when(plain, kinds(0, 1, 2, 3)).otherwise(kinds(0))
+    return F.when(kind < len(KINDS), F.array_union(F.array(kind), form)).otherwise(form)
+
+
 def _valid(kind: Column, value: Column) -> Column:
     card, phone = F.regexp_replace(value, "[ -]", ""), F.regexp_replace(value, "[^0-9]", "")
     return (
@@ -65,38 +88,39 @@ def _valid(kind: Column, value: Column) -> Column:
         .when(kind == 1, value.rlike(rf"\A{_BYTE}(?:\.{_BYTE}){{3}}\z"))
         .when(kind == 2, F.when(F.length(card).between(14, 19), _luhn(card)).otherwise(False))
         .when(kind == 3, F.length(phone).between(10, 15))
-        .otherwise(True)
+        .otherwise(~value.rlike(_NUMBER) | value.rlike(_DOTTED) | value.rlike(rf"\A[0-9]{{{SHORTEST},}}\z") | F.length(phone).between(*DIGITS))
     )
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """Valid base matches (kind 0 to 3) and candidates (kind 4): row key, kind, start, end, value, context."""
+    """Valid base matches (kind 0 to 3) and candidates (kind 4): row key, kind, start, end, value, contexts, kinds competed for."""
     text, none = F.col("text"), F.array().cast("array<struct<kind:int,nth:int,gap:int,value:string,before:string>>")
     tried = [F.when(text.rlike(quick), _matches(text, k, pattern)).otherwise(none) for k, (_, pattern, quick) in enumerate(KINDS)]
-    tried.append(F.when(text.rlike(r"[0-9]"), _matches(text, len(KINDS), CANDIDATE)).otherwise(none))
-    each = docs.filter(text.rlike(r"[0-9@]")).select(*row_key(), F.explode(F.concat(*tried)).alias("m"))
+    tried.append(F.when(text.rlike(r"[0-9@]") | text.rlike(_SPELLED), _matches(text, len(KINDS), CANDIDATE)).otherwise(none))
+    each = docs.filter(text.rlike(r"[0-9@]") | text.rlike(_SPELLED)).select(*row_key(), F.explode(F.concat(*tried)).alias("m"))
     each = each.distinct()  # repeated rows say the same
     each = each.select("__id", "__h", "__c", "m.*")
     upto = F.sum(F.col("gap") + F.length("value")).over(Window.partitionBy("__id", "__h", "__c", "kind").orderBy("nth"))
     # the last word before it, and the last two, with what stands between them and the candidate
     lead = F.lower(F.concat(F.lit(" "), F.col("before")))
-    words = [F.xxhash64(F.lit(n), F.regexp_extract(lead, rf"((?:[^\s]+\s+){{{n}}})\z|((?:[^\s]+\s+){{{n - 1}}}[^\s]+)\z", 0)) for n in (1, 2)]
+    words = [F.regexp_extract(lead, rf"((?:[^\s]+\s+){{{n}}})\z|((?:[^\s]+\s+){{{n - 1}}}[^\s]+)\z", 0) for n in (1, 2)]
+    contexts = F.array_compact(F.array(*[F.when(w != "", F.xxhash64(F.lit(n), w)) for n, w in enumerate(words, 1)]))
     placed = each.withColumn("end", upto.cast("long")).withColumn("start", F.col("end") - F.length("value")).filter(_valid(F.col("kind"), F.col("value")))
-    return placed.select("__id", "__h", "__c", "kind", "start", "end", F.when(F.col("kind") == len(KINDS), F.xxhash64("value")).alias("value"), F.when(F.col("kind") == len(KINDS), F.array(*words)).alias("contexts"))
+    return placed.select("__id", "__h", "__c", "kind", "start", "end", F.xxhash64("value").alias("value"), contexts.alias("contexts"), _forms(F.col("kind"), F.col("value")).alias("forms"))
 
 
-def _trusted(candidates: DataFrame, scratch: Scratch) -> DataFrame:
-    """Contexts that the graph trusts, from candidates (value, context, seed)."""
-    graph = scratch.write(candidates.groupBy("context", "value").agg(F.max("seed").alias("seed")), "graph")
-    values = graph.groupBy("value").agg(F.max("seed").cast("double").alias("s"))
+def _trusted(items: DataFrame, scratch: Scratch) -> DataFrame:
+    """Contexts and the kinds for which the graph trusts them, from items (form, context, value, seed)."""
+    graph = scratch.write(items.groupBy("form", "context", "value").agg(F.max("seed").alias("seed")), "graph")
+    values = graph.groupBy("form", "value").agg(F.max("seed").cast("double").alias("s"))
     for k in range(ROUNDS):
-        contexts = graph.join(values, "value").groupBy("context").agg(F.avg("s").alias("p"), F.count(F.lit(1)).alias("n"))
+        contexts = graph.join(values, ["form", "value"]).groupBy("form", "context").agg(F.avg("s").alias("p"), F.count(F.lit(1)).alias("n"))
         if k == ROUNDS - 1:
             break
         trusted = contexts.filter((F.col("p") >= CONFIDENCE) & (F.col("n") >= SUPPORT))
-        values = graph.join(trusted, "context", "left").groupBy("value").agg(F.greatest(F.max("seed").cast("double"), F.coalesce(F.max("p"), F.lit(0.0))).alias("s"))
+        values = graph.join(trusted, ["form", "context"], "left").groupBy("form", "value").agg(F.greatest(F.max("seed").cast("double"), F.coalesce(F.max("p"), F.lit(0.0))).alias("s"))
         values = scratch.write(values, f"values{k}")
-    return contexts.filter((F.col("p") >= CONFIDENCE) & (F.col("n") >= SUPPORT)).select("context")
+    return contexts.filter((F.col("p") >= CONFIDENCE) & (F.col("n") >= SUPPORT)).select("form", "context")
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -105,15 +129,15 @@ def find(docs: DataFrame) -> DataFrame:
     key, last = ["__id", "__h", "__c"], len(KINDS)
     found = scratch.write(spans(docs), "spans")
     # a text's spans are few: which candidates a base span touches is settled within its row
-    item = F.struct("start", "kind", "end", "value", "contexts")
-    by_text = found.groupBy(*key).agg(F.sort_array(F.collect_list(F.when(F.col("kind") < last, F.struct("start", "kind", "end")))).alias("base"), F.collect_list(F.when(F.col("kind") == last, item)).alias("rest"))
+    item = F.struct("start", "kind", "end", "value", "contexts", "forms")
+    by_text = found.groupBy(*key).agg(F.sort_array(F.collect_list(F.when(F.col("kind") < last, F.struct("start", "kind", "end")))).alias("base"), F.collect_list(item).alias("items"))
     touched = lambda c: F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    by_text = by_text.withColumn("rest", F.transform("rest", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["value"].alias("value"), c["contexts"].alias("contexts"), touched(c).alias("seed"))))
+    by_text = by_text.withColumn("items", F.filter("items", lambda c: (c["kind"] < last) | ~touched(c)))
     by_text = scratch.write(by_text, "texts")
-    candidates = by_text.select(*key, F.explode("rest").alias("c")).select(*key, "c.*")
-    in_context = candidates.select("*", F.explode("contexts").alias("context")).drop("contexts")
-    trusted = scratch.write(_trusted(in_context, scratch), "trusted")
-    fresh = in_context.filter(~F.col("seed")).join(trusted, "context", "left_semi")
+    items = by_text.select(*key, F.explode("items").alias("c")).select(*key, "c.*")
+    items = items.select("*", F.explode("contexts").alias("context")).drop("contexts").select("*", F.explode("forms").alias("form")).drop("forms")
+    trusted = scratch.write(_trusted(items.withColumn("seed", F.col("kind") == F.col("form")), scratch), "trusted")
+    fresh = items.filter(F.col("kind") == last).join(trusted, ["form", "context"], "left_semi")
     added = fresh.groupBy(*[F.col(c).alias(f"{c}3") for c in key]).agg(F.collect_set(F.struct("start", F.lit(last).alias("kind"), "end")).alias("added"))
     same = lambda x: [F.col(c).eqNullSafe(F.col(f"{c}{x}")) for c in key]
     all_of = by_text.select(*key, "base").join(added, same(3), "left")
