@@ -10,6 +10,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,6 +36,18 @@ def _remove(jvm, jconf, path: str) -> None:
         pass
 
 
+@contextmanager
+def arrow_bytes(spark: SparkSession, most: int = 4 << 20) -> Iterator[None]:
+    """Tables written inside send Python workers batches of about ``most`` bytes, however long their rows are."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Scratch:
     """Tables written by one call of an operator. ``drop`` removes one early; the rest go at exit."""
 

@@ -4,26 +4,31 @@ A text's set holds the hashes of its distinct word shingles. A sketch deals the
 by their high bits and XORs those of a segment together. Two texts differ in no more segments than
 their sets' symmetric difference has members, which the similarity bounds by the sizes: texts of one
 size band that link differ in at most ``D`` segments. With ``D + 1 + spare`` segments, some agree
-(pigeonhole), so texts that share no (band, segment, XOR) key cannot link. Candidates that share
-one are verified on their whole sets.
+(pigeonhole), so texts that share no (band, segment, XOR) key cannot link. A second sketch has one
+parity bit per place: the Hamming distance of two such sketches never exceeds the difference of their
+sets, so a distance beyond the bound rules a pair out before any text is read. The rest is verified on
+whole sets.
 
 What keeps the keys few and the join whole:
 
 * Equal sets are one class first; a class is sketched once and needs no verification.
-* Shingles that a bounded sample of texts shows to be very common are left out of the sketches. That
+* Shingles that a bounded sample of texts shows to be very common are left out of the segments. That
   never loses a link (a difference of subsets is no larger). A text with more than ``spare`` empty
   segments left also sends a sketch of its whole set, and if that too has more, its empty segments.
   Two linked texts agree in at least ``spare + 1`` segments, so one of these kinds has a common key.
-* Keys of one batch are combined before the shuffle: one member is sent on, the others are tied to
-  it. The members of a key thus form a tree of edges, never all pairs.
-* Each class first verifies the partner with which it shares most keys; links are contracted to
-  components. A key whose members all are in one component is done. The others tie their members into
-  groups; every member is compared with one of its group, the pivot, and known from then on by its
-  difference from the pivot.
-  Two members whose differences are small link by way of the pivot (the triangle inequality). Any
-  other two that link must share parts of their differences, so a prefix-filtered join of the
-  differences (rare shingles first) finds them: groups of near copies that do not
-  link among themselves are never paired out.
+* Keys of a chunk of texts are combined before the shuffle: one member stands for the others.
+* The members of a key are never paired out. Each is compared with one leader. Links are contracted to
+  components, and a key whose members all are in one component is done. Members within the radius of
+  the leader (``Radius``) are known from then on by their difference from it; those beyond it choose
+  another leader, for ``ROUNDS`` rounds; what is left then has the empty set as its leader.
+* Members of one leader: the difference of two sets is the difference of their differences from it. Two
+  whose differences are small link by the triangle inequality, which one member for each leader settles.
+  Any other two that link share a part of their differences among the first few, in the order of how
+  many members of the leader have a part (rarest first): a prefix join finds them, and the exact
+  distance follows from the differences alone. Linked or not, no text is read twice for a leader.
+
+The result does not depend on ``ROUNDS``, the radius or the sample: they shape candidates only. Every set
+is known by a 64-bit hash of its members.
 
 Edge cases: a null text or one without words has an empty set, is linked with nothing and is its own
 component; a text with fewer words than a shingle is one shingle; equal texts link; rows with a
@@ -39,6 +44,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,13 +52,17 @@ from pyspark.sql import types as T
 
 from .components import components
 from .sampling import bounded_sample
-from .scratch import Scratch
-from .textkernel import SPACE_WORDS, Words, chunks, mix64, shingle_sets
+from .scratch import Scratch, arrow_bytes
+from .textkernel import CHUNK_BYTES, SPACE_WORDS, Words, chunks, mix64, shingle_sets
 
 #: Texts sampled to find common shingles; from how many of them on one is common; at most so many (8 bytes each).
 SAMPLE_DOCS, COMMON_FROM, MOST_COMMON = 10_000, 4, 200_000
 #: Tables of up to so many rows of two numbers (16 MB) are sent to every executor.
 BROADCAST_ROWS = 1_000_000
+#: How often the members of a key that are beyond the radius of their leader choose another.
+ROUNDS = 3
+#: Classes that a task remembers to have sketched; beyond it, it begins anew and may sketch one again.
+REMEMBERED = 100_000
 _RATIO = 1.25
 _U = np.uint64
 
@@ -110,7 +120,7 @@ def keys_of(members: np.ndarray, rare: np.ndarray, bands: Bands) -> np.ndarray:
 
 
 def class_of(members: np.ndarray) -> int:
-    """A set's 64-bit identity; classes are told apart by it and by their size."""
+    """A set's 64-bit identity, from its members and their number."""
     return int(mix64(np.array([np.add.reduce(mix64(members ^ _U(0xA5A5A5A5A5A5A5A5))) + _U(len(members))], dtype=_U)).view(np.int64)[0])
 
 
@@ -144,56 +154,103 @@ def _common(docs: DataFrame, shingle: int) -> Common:
     return Common(np.array([r[0] for r in rows], dtype=np.int64).view(_U), np.array([r[1] for r in rows], dtype=np.int64))
 
 
-_SKETCHED = T.StructType(
-    [
-        T.StructField("h", T.LongType()),
-        T.StructField("n", T.LongType()),
-        T.StructField("class", T.LongType()),
-        T.StructField("sent", T.ArrayType(T.LongType())),
-        T.StructField("tied", T.ArrayType(T.LongType())),
-        T.StructField("ties", T.ArrayType(T.LongType())),
-    ]
-)
+def parity_bits(members: np.ndarray) -> bytes:
+    """One parity bit per place: 4 places or more a member, a power of two, so that halves fold onto each other."""
+    places = max(64, 1 << (4 * len(members) - 1).bit_length())
+    at = (mix64(members) & _U(places - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=places) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def hamming(one: bytes, two: bytes) -> int:
+    """Distance of two parity sketches, the longer folded to the shorter: at most the difference of their sets."""
+    x, y = np.frombuffer(one, np.uint8), np.frombuffer(two, np.uint8)
+    if len(x) < len(y):
+        x, y = y, x
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+class Radius:
+    """How far a member may be from its leader, for links of ``100 * common >= percent * union``."""
+
+    def __init__(self, percent: int):
+        self.percent, self.lose, self.gain = percent, 100 - percent, 100 + percent
+
+    def most(self, n: int) -> int:
+        """By how many shingles a set of ``n`` and any that links with it differ at most."""
+        return self.lose * (n + n * 100 // self.percent) // self.gain
+
+    def inner(self, n: int) -> int:
+        """A member no further than this needs no other leader."""
+        return 3 * self.most(n)
+
+    def outer(self, n: int) -> int:
+        """Whatever links with a set that needs no other leader is no further from the leader than this."""
+        return self.inner(n * 100 // self.percent) + self.most(n)
+
+    def linked(self, total: int, d: int) -> bool:
+        """Whether sets of ``total`` members together that differ in ``d`` link."""
+        return self.gain * d <= self.lose * total
+
+
+_SKETCHED = "h long, n long, class long, bits binary, sent array<long>, led array<long>, tied array<long>"
+
+
+def _lists(values: np.ndarray, owner: np.ndarray, n: int) -> pa.Array:
+    """A list for each of ``n`` rows from values in order of their rows."""
+    ends = np.cumsum(np.bincount(owner, minlength=n))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(values, pa.int64()))
 
 
 def _sketched(docs: DataFrame, shingle: int, bands: Bands, common: Broadcast) -> DataFrame:
-    """Per row: doc_id, hash of the text, n, class; keys sent on, and keys tied to another class of the batch."""
+    """Per row: doc_id, hash of the text, n, class, parity bits, and keys.
+
+    Of the texts of a chunk with a key, one sends it (``led`` if there are others); the others only hold it (``tied``).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, seen = common.value, set()
         for batch in batches:
-            sizes, classes, keys = [], [], []
             for part in chunks(batch):
+                sizes, classes, bits, keys = [], [], [], []
                 for members in shingle_sets(Words(part.column(2), SPACE_WORDS), shingle):
+                    own = class_of(members) if len(members) else None
+                    fresh = own is not None and own not in seen
                     sizes.append(len(members))
-                    classes.append(class_of(members) if len(members) else None)
-                    if len(members) and classes[-1] not in seen:
-                        seen.add(classes[-1])
-                        keys.append(keys_of(members, members[frequent.of(members) == 0], bands).view(np.int64))
-                    else:
-                        keys.append(np.empty(0, np.int64))
-            flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
-            owner = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-            own_class = np.array([c or 0 for c in classes], dtype=np.int64)
-            order = np.lexsort((own_class[owner], flat))
-            first = np.ones(len(flat), bool)
-            first[1:] = flat[order][1:] != flat[order][:-1]
-            head = order[np.maximum.accumulate(np.where(first, np.arange(len(flat)), 0))] if len(flat) else order
-            sent = np.zeros(len(flat), bool)
-            sent[order[first]] = True
-            to = np.empty(len(flat), np.int64)
-            to[order] = own_class[owner[head]]
-
-            def lists(values: np.ndarray, mask: np.ndarray, owner=owner, n=len(keys)) -> pa.Array:
-                ends = np.cumsum(np.bincount(owner[mask], minlength=n))
-                return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(values[mask]))
-
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), lists(flat, sent), lists(flat, ~sent), lists(to, ~sent)],
-                ["doc_id", "h", "n", "class", "sent", "tied", "ties"],
-            )
-
-    return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(run, T.StructType([docs.schema["doc_id"], *_SKETCHED.fields]))
+                    classes.append(own)
+                    bits.append(parity_bits(members) if fresh else None)
+                    keys.append(keys_of(members, members[frequent.of(members) == 0], bands).view(np.int64) if fresh else np.empty(0, np.int64))
+                    if fresh:
+                        seen.add(own)
+                if len(seen) > REMEMBERED:
+                    seen.clear()
+                flat, owner = np.concatenate(keys), np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+                order = np.argsort(flat, kind="stable")
+                first = np.ones(len(flat), bool)
+                first[1:] = flat[order][1:] != flat[order][:-1]
+                alone = first & np.append(first[1:], True)
+                kind = np.empty(len(flat), np.int8)
+                kind[order] = np.where(alone, 0, np.where(first, 1, 2))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(bits, pa.binary())]
+                    + [_lists(flat[kind == k], owner[kind == k], len(keys)) for k in range(3)],
+                    ["doc_id", "h", "n", "class", "bits", "sent", "led", "tied"],
+                )
+
+    rest = T.StructType.fromDDL(_SKETCHED)
+    return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(run, T.StructType([docs.schema["doc_id"], *rest.fields]))
+
+
+def _held(sketched: DataFrame) -> DataFrame:
+    """(key, a) of all keys that several rows share; a few of them are rows of one class."""
+    lone = sketched.select(F.explode("sent").alias("key"), F.col("class").alias("a"), F.lit(False).alias("led"))
+    led = sketched.filter("size(led) > 0").select(F.explode("led").alias("key"), F.col("class").alias("a"), F.lit(True).alias("led"))
+    tied = sketched.filter("size(tied) > 0").select(F.explode("tied").alias("key"), F.col("class").alias("a"))
+    by_key = Window.partitionBy("key").orderBy("a")
+    sent = lone.unionByName(led).select("key", "a", "led", F.lag("a").over(by_key).alias("before"), F.lead("a").over(by_key).alias("after"))
+    sent = sent.filter("(led or before is not null or after is not null) and not a <=> before")
+    return sent.select("key", "a").unionByName(tied)
 
 
 def _side(df: DataFrame) -> DataFrame:
@@ -201,199 +258,227 @@ def _side(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-class _Texts:
-    """Texts of classes, for pairs of classes."""
-
-    def __init__(self, docs: DataFrame, members: DataFrame, shingle: int, percent: int, common: Broadcast, scratch: Scratch):
-        self.docs, self.members, self.shingle, self.percent, self.common = docs, members, shingle, percent, common
-        self.scratch, self.calls = scratch, 0
-
-    def _beside(self, pairs: DataFrame) -> DataFrame:
-        """(a, b, text of a, text of b)."""
-        wanted = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-        # a class is addressed by id and text of one of its rows, with a null id only if it has no other
-        rows_of = self.members.join(wanted, "class", "left_semi").groupBy("class", "doc_id", "h").agg(F.count(F.lit(1)).alias("rows"))
-        chosen = rows_of.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h", "rows")).alias("c"))
-        self.calls += 1
-        chosen = self.scratch.write(chosen.select("class", F.col("c.doc_id").alias("__id"), F.col("c.h").alias("__h"), F.col("c.rows").alias("__rows")), f"chosen{self.calls}")
-        side = _side(chosen)
-        texts = self.docs.select("doc_id", "text").join(side, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__h"))).select("class", "text")
-        if chosen.filter("__rows > 1").limit(1).count():
-            texts = texts.dropDuplicates(["class"])
-        rows = pairs.select("a", "b").join(texts.select(F.col("class").alias("a"), F.col("text").alias("text")), "a").join(texts.select(F.col("class").alias("b"), F.col("text").alias("other")), "b")
-        return rows.select("a", "b", "text", "other")
-
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that link."""
-        shingle, percent = self.shingle, self.percent
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in chunks(batch, "text"):
-                    keep = [percent * (len(x) + len(y) - both) <= 100 * both for _, _, x, y, both in _sets(part, shingle)]
-                    yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-        return self._beside(pairs).mapInArrow(run, "a long, b long")
-
-    def differences(self, pairs: DataFrame) -> DataFrame:
-        """Of pairs (member a, pivot b): whether they link, the member's size and difference, and its join keys."""
-        shingle, percent, common = self.shingle, self.percent, self.common
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in chunks(batch, "text"):
-                    rows = []
-                    for a, b, x, y, both in _sets(part, shingle):
-                        linked = percent * (len(x) + len(y) - both) <= 100 * both
-                        rows.append((a, b, linked, len(x), len(x) + len(y) - 2 * both, difference_keys(b, x, y, percent, common.value).view(np.int64)))
-                    columns = zip(*rows, strict=True) if rows else [[]] * 6
-                    types = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], ["a", "b", "linked", "n", "d", "keys"])
-
-        return self._beside(pairs).mapInArrow(run, "a long, b long, linked boolean, n long, d long, keys array<long>")
-
-
-def _sets(part: pa.RecordBatch, shingle: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, int]]:
-    """Per row (a, b, their sets, members in both); texts of another class (whose hashes meet) are passed over."""
-    left, right = (shingle_sets(Words(part.column(k), SPACE_WORDS), shingle) for k in (2, 3))
-    for a, b, x, y in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), left, right, strict=True):
-        if class_of(x) != a or class_of(y) != b:
-            x = y = np.empty(0, _U)
-            yield a, b, x, y, -1
-        else:
-            yield a, b, x, y, len(np.intersect1d(x, y, assume_unique=True))
-
-
-def most_of(n: int, percent: int) -> int:
-    """By how many shingles a set of ``n`` and any that links with it differ at most."""
-    return (100 - percent) * (n + n * 100 // percent) // (100 + percent)
-
-
-def regions(n: int, d: int, percent: int) -> tuple[bool, bool]:
-    """Whether a set of ``n`` shingles, ``d`` from its pivot, sends bin keys (near) and whether it sends far keys.
-
-    Two sets that link send a kind in common: one that sends no bin keys has d > 5 * most_of(largest) + most_of(n),
-    so its partner has e >= d - most_of(n) > 5 * most_of(largest), no less than 5 times the partner's own bound.
-    """
-    most, largest = most_of(n, percent), n * 100 // percent
-    return d <= 5 * most_of(largest, percent) + most, d > 5 * most
-
-
-def difference_keys(pivot: int, x: np.ndarray, y: np.ndarray, percent: int, common: Common) -> np.ndarray:
-    """Join keys of a member's difference from its pivot.
+def _texts(docs: DataFrame, sketched: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
+    """(class, n, bits, text) of the wanted classes (column a)."""
+    # a class is addressed by id and text of one of its rows, with a null id only if it has no other
+    rows_of = sketched.select("doc_id", "h", "n", "class", "bits").join(_side(wanted).withColumnRenamed("a", "class"), "class", "left_semi")
+    address = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")
+    chosen = rows_of.groupBy("class").agg(F.min(address).alias("c"), F.max("n").alias("n"), F.first("bits", ignorenulls=True).alias("bits"))
+    chosen = scratch.write(chosen.select("class", "n", "bits", F.col("c.doc_id").alias("__id"), F.col("c.h").alias("__h")), "chosen")
+    where = _side(chosen.select("class", "__id", "__h"))
+    texts = docs.select("doc_id", "text").join(where, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__h"))).select("class", "text")
+    texts = scratch.write(texts, "rows")
+    repeated = texts.groupBy("class").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("class")
+    if repeated.limit(1).count():
+        side = F.broadcast(repeated) if repeated.count() <= BROADCAST_ROWS else repeated
+        once = texts.join(side, "class", "left_semi").dropDuplicates(["class"])
+        texts = texts.join(side, "class", "left_anti").unionByName(once)
+    return scratch.write(texts.join(chosen.select("class", "n", "bits"), "class"), "texts")
+
+
+def _beside(pairs: DataFrame, texts: DataFrame, column: str) -> DataFrame:
+    """(a, b, ``column`` of a, ``column`` of b, size of a)."""
+    one, two = texts.select(F.col("class").alias("a"), F.col(column).alias("one"), "n"), texts.select(F.col("class").alias("b"), F.col(column).alias("two"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "one", "two", "n")
+
+
+def _pair_chunks(batch: pa.RecordBatch) -> Iterator[tuple[list[int], list[int], dict[int, int], pa.Array]]:
+    """Parts of a batch (a, b, text of a, text of b) with about ``CHUNK_BYTES`` of text: a, b, where a class stands, its text."""
+    length = np.add(*[pc.binary_length(batch.column(k)).to_numpy(zero_copy_only=False) for k in (2, 3)])
+    end, at = np.cumsum(length), 0
+    while at < len(end):
+        to = max(at + 1, int(np.searchsorted(end, (end[at - 1] if at else 0) + CHUNK_BYTES, side="right")))
+        part = batch.slice(at, to - at)
+        classes, place = np.unique(np.concatenate([part.column(k).to_numpy() for k in (0, 1)]), return_index=True)
+        yield part.column(0).to_pylist(), part.column(1).to_pylist(), {c: i for i, c in enumerate(classes.tolist())}, pa.concat_arrays([part.column(2), part.column(3)]).take(pa.array(place))
+        at = to
+
+
+def _measured(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
+    """Pairs (a, b) within the outer radius: a, b, n (size of a), d, linked, inside (the inner radius), parts (the difference)."""
+    radius = Radius(percent)
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [hamming(x, y) <= radius.outer(n) for x, y, n in zip(*[batch.column(k).to_pylist() for k in (2, 3, 4)], strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    With differences of ``d`` and ``e`` shingles from the pivot, two members that differ in at most ``most``
-    have |d - e| <= most and share at least (d + e - most) / 2 of their differences: the first d - that + 1
-    of them, in an order common to the pivot's group, must meet. Members are joined by bins of ``d`` so that
-    the bound is tight; far from the pivot one bin will do (``regions`` says who sends which).
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, place, column in _pair_chunks(batch):
+                sets = shingle_sets(Words(column, SPACE_WORDS), shingle)
+                rows, parts = [], []
+                for one, two in zip(a, b, strict=True):
+                    x, y = sets[place[one]], sets[place[two]]
+                    if class_of(x) != one or class_of(y) != two:
+                        continue  # a row whose hash meets that of another text
+                    differ = np.setxor1d(x, y, assume_unique=True)
+                    n, d = len(x), len(differ)
+                    if d <= radius.outer(n):
+                        rows.append((one, two, n, d, radius.linked(n + len(y), d), d <= radius.inner(n)))
+                        parts.append(differ.view(np.int64))
+                if rows:
+                    types = (pa.int64(),) * 4 + (pa.bool_(),) * 2
+                    lists = _lists(np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts]), len(parts))
+                    yield pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], lists], ["a", "b", "n", "d", "linked", "inside", "parts"])
+
+    near = scratch.write(_beside(pairs, texts, "bits").mapInArrow(close, "a long, b long"), f"close{name}")
+    beside = _beside(near, texts, "text").mapInArrow(measure, "a long, b long, n long, d long, linked boolean, inside boolean, parts array<long>")
+    return scratch.write(beside, f"measured{name}")
+
+
+def _rooted(df: DataFrame, roots: DataFrame, node: str, out: str) -> DataFrame:
+    """``df`` with the root of the component of ``node``."""
+    return df.join(_side(roots).select(F.col("node").alias(node), F.col("root").alias(out)), node, "left").withColumn(out, F.coalesce(out, node))
+
+
+def _within(known: DataFrame, roots: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
+    """Links (a, b) between different components among the members of each leader, from (a, lead, n, d, parts).
+
+    Every pair of members of a leader that links is found, or both are linked with one third member.
     """
-    fresh, gone = np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)
-    parts, d, n = np.concatenate([fresh, gone]), len(fresh) + len(gone), len(x)
-    # Rare in the pivot's group comes first, as far as the sample tells: a new shingle is rare if few texts have it,
-    # one of the pivot's is rarely lacking if many have it. Any order would do; this one lets few prefixes meet.
-    count, usual = common.of(parts), max(1.0, float(np.median(common.of(y))))
-    often = np.where(np.arange(d) < len(fresh), count / usual, np.maximum(0.0, 1.0 - count / usual))
-    parts = parts[np.lexsort((parts, np.arange(d) >= len(fresh), often))]
-    if not d or not n:
-        return np.empty(0, _U)
     lose, gain = 100 - percent, 100 + percent
-    most, least = most_of(n, percent), lose * (n + -(-n * percent // 100)) // gain
-    width = max(1, -(-most_of(len(y), percent) // 3))
-    near, far = regions(n, d, percent)
-    seed = mix64(np.array([pivot], dtype=np.int64).view(_U))
-    out = []
-    if far:
-        out.append(mix64(parts[: most + 1] ^ seed ^ _U(1)))
-    if near:
-        own = d // width
-        for other in range(max(0, d - most) // width, (d + most) // width + 1):
-            if d + (other + 1) * width - 1 <= least:
-                continue  # such pairs link by way of the pivot
-            share = max(1, -(-(d + other * width - most) // 2))
-            label = mix64(np.array([min(own, other) << 32 | max(own, other)], dtype=_U)) ^ seed
-            out.append(mix64(parts[: d - share + 1] ^ label))
-    return np.concatenate(out) if out else np.empty(0, _U)
+    members = scratch.write(_rooted(known, roots, "a", "root"), f"members{name}")
+    open_leads = members.groupBy("lead").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("lead")
+    members = scratch.write(members.join(_side(open_leads), "lead", "left_semi"), f"open{name}")
+    # Differences of d and e shingles are at most d + e apart. If that is enough for any partner, it is for the member of the
+    # leader with the most room, so all such pairs hang together through that one.
+    room = F.lit(lose) * F.col("n") - F.lit(gain) * F.col("d")
+    roomy = members.groupBy("lead").agg(F.max_by(F.struct(F.col("a").alias("b"), room.alias("room")), F.struct(room, "a")).alias("m"))
+    near = members.select("lead", "a", room.alias("room")).join(_side(roomy), "lead").filter((F.col("room") + F.col("m.room") >= 0) & (F.col("a") != F.col("m.b"))).select("a", F.col("m.b").alias("b"))
+    # Others share (d + e - most) / 2 of their parts at least: some are among the first (most + d - e) / 2 + 1 of d.
+    most = F.floor(F.lit(lose) * (F.col("n") + F.floor(F.col("n") * 100 / percent)) / gain)
+    each = members.select("lead", "a", "n", "d", "root", F.explode("parts").alias("part"))
+    counts = each.groupBy("lead", "part").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    placed = each.join(counts, ["lead", "part"], "left").select("lead", "a", "n", "d", "root", "part", F.coalesce("c", F.lit(1)).alias("c"))
+    place = F.row_number().over(Window.partitionBy("lead", "a").orderBy("c", "part")) - 1
+    first = scratch.write(placed.withColumn("place", place).filter((F.col("place") <= most) & (F.col("c") > 1)).select("lead", "part", "a", "n", "d", "root", "place"), f"first{name}")
+    one, two = (first.select("lead", "part", *[F.col(c).alias(f"{c}{k}") for c in ("a", "n", "d", "root", "place")]) for k in (1, 2))
+    bound = F.floor(F.lit(lose) * (F.col("n1") + F.col("n2")) / gain)
+    beyond = F.col("d1") - F.col("d2")
+    met = one.join(two, ["lead", "part"]).filter(
+        ((beyond > 0) | (beyond == 0) & (F.col("a1") > F.col("a2")))
+        & (F.col("root1") != F.col("root2"))
+        & (beyond <= bound)
+        & (F.col("d1") + F.col("d2") > bound)
+        & (2 * F.col("place1") <= bound + beyond)
+        & (2 * F.col("place2") <= bound - beyond)
+        & (100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2"))
+    )
+    met = scratch.write(met.select("lead", F.col("a1").alias("a"), F.col("a2").alias("b")).distinct(), f"met{name}")
+    parts = members.select("lead", "a", "n", "d", "parts")
+    both = met.join(parts, ["lead", "a"]).join(parts.select("lead", *[F.col(c).alias(k) for c, k in (("a", "b"), ("n", "n2"), ("d", "d2"), ("parts", "parts2"))]), ["lead", "b"])
+    apart = F.col("d") + F.col("d2") - 2 * F.size(F.array_intersect("parts", "parts2"))
+    found = both.filter(gain * apart <= lose * (F.col("n") + F.col("n2"))).select("a", "b")
+    return scratch.write(near.unionByName(found).distinct(), f"found{name}")
+
+
+def _whole_sets(texts: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """(a, n, parts) of the wanted classes (column a): whole sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch):
+                sets = [s.view(np.int64) for s in shingle_sets(Words(part.column(1), SPACE_WORDS), shingle)]
+                lists = _lists(np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets]), len(sets))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), lists], ["a", "n", "parts"])
+
+    rows = texts.select(F.col("class").alias("a"), "text").join(_side(wanted), "a", "left_semi")
+    return rows.mapInArrow(run, "a long, n long, parts array<long>")
+
+
+def _roots(docs: DataFrame, sketched: DataFrame, shingle: int, percent: int, scratch: Scratch) -> DataFrame:
+    """(node, root) of the classes that link with another."""
+    held = scratch.write(_held(sketched), "held0")
+    several = held.groupBy("key").agg(F.min("a").alias("lead"), F.max("a").alias("last")).filter("lead <> last").select("key", "lead")
+    held = scratch.write(held.join(several, "key"), "held")
+    wanted = scratch.write(held.select("a").distinct(), "wanted")
+    texts = _texts(docs, sketched, wanted, scratch)
+    # at first each class meets the leader (the least class of a key) with which it shares most keys
+    shared = held.filter("a <> lead").groupBy("a", "lead").agg(F.count(F.lit(1)).alias("c"))
+    best = shared.groupBy("a").agg(F.max_by("lead", F.struct("c", "lead")).alias("b"))
+    known = _measured(best, texts, shingle, percent, scratch, "0")
+    tried = scratch.write(best, "tried0")
+    roots = scratch.write(components(known.filter("linked").select("a", "b"), scratch, "c0_"), "roots0")
+    held = held.select("key", "a")
+    for k in range(1, ROUNDS + 1):
+        # a key asks for the least home of its members, where each is at home with the least leader within its radius
+        homes = known.filter("inside").groupBy("a").agg(F.min("b").alias("home"))
+        homes = scratch.write(homes, f"homes{k}")
+        state = _rooted(held, roots, "a", "root").join(_side(homes), "a", "left").withColumn("home", F.coalesce("home", "a"))
+        state = scratch.write(state, f"state{k}")
+        leads = state.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min("home").alias("lead")).filter("x <> y").select("key", "lead")
+        asked = scratch.write(state.select("key", "a").join(leads, "key"), f"asked{k}")
+        scratch.drop(f"state{k}")
+        if not asked.limit(1).count():
+            return _finished(known, roots, percent, scratch, None)
+        pairs = asked.filter("a <> lead").select("a", F.col("lead").alias("b")).distinct()
+        pairs = scratch.write(pairs.join(tried, ["a", "b"], "left_anti"), f"pairs{k}")
+        fresh = _measured(pairs, texts, shingle, percent, scratch, str(k))
+        known, tried = known.unionByName(fresh), tried.unionByName(pairs)
+        if fresh.filter("linked").limit(1).count():
+            roots = scratch.write(components(known.filter("linked").select("a", "b"), scratch, f"c{k}_"), f"roots{k}")
+        settled = known.filter("inside").select("a", F.col("b").alias("lead"))
+        held = scratch.write(asked.filter("a <> lead").join(settled, ["a", "lead"], "left_anti").select("key", "a"), f"held{k}")
+    left = _rooted(held, roots, "a", "root")
+    open_keys = left.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("key")
+    lone = scratch.write(held.join(open_keys, "key", "left_semi").select("a").distinct(), "lone")
+    return _finished(known, roots, percent, scratch, _whole_sets(texts, lone, shingle))
+
+
+def _finished(known: DataFrame, roots: DataFrame, percent: int, scratch: Scratch, lone: DataFrame | None) -> DataFrame:
+    """Components with the links among members of one leader, and among classes that have none."""
+    links = known.filter("linked").select("a", "b")
+    near = known.select("a", F.col("b").alias("lead"), "n", "d", "parts")
+    more = [_within(near, roots, percent, scratch, "led")]
+    if lone is not None:
+        # the empty set leads them: a set is its own difference from it
+        more.append(_within(lone.select("a", F.lit(0).cast("long").alias("lead"), "n", F.col("n").alias("d"), "parts"), roots, percent, scratch, "lone"))
+    fresh = more[0] if len(more) == 1 else more[0].unionByName(more[1])
+    if not fresh.limit(1).count():
+        return roots
+    return scratch.write(components(links.unionByName(fresh), scratch, "c_"), "roots")
+
+
+def _members(docs: DataFrame, shingle: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Per row of ``docs``: doc_id, hash of the text (h), n, and the root of its class (null for an empty set)."""
+    spark = docs.sparkSession
+    common = spark.sparkContext.broadcast(_common(docs, shingle))  # at most MOST_COMMON pairs of numbers
+    with arrow_bytes(spark):
+        sketched = scratch.write(_sketched(docs, shingle, Bands(percent), common), "sketched")
+        roots = _roots(docs, sketched, shingle, percent, scratch)
+    some = sketched.select("doc_id", "h", "n", F.col("class").alias("a"))
+    return scratch.write(_rooted(some, roots, "a", "root").drop("a"), "rows_with_roots")
 
 
 def join(docs: DataFrame, shingle: int = 3, percent: int = 90) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "simjoin")
-    bands = Bands(percent)
-    common = spark.sparkContext.broadcast(_common(docs, shingle))  # at most MOST_COMMON pairs of numbers
-    sketched = scratch.write(_sketched(docs, shingle, bands, common), "sketched")
-    members = sketched.select("doc_id", "h", "n", "class")
-    roots = _roots(docs, sketched, scratch, _Texts(docs, members, shingle, percent, common, scratch), percent)
-    some = members.filter("n > 0")
-    if roots is not None:
-        some = some.join(roots.withColumnRenamed("node", "class"), "class", "left")
-        some = some.withColumn("root", F.coalesce("root", "class"))
-    else:
-        some = some.withColumn("root", F.col("class"))
-    # a component of one row needs no partner: only the roots of several rows are joined back
+    scratch = Scratch(docs.sparkSession, "simjoin")
+    rows = _members(docs, shingle, percent, scratch)
+    some = rows.filter("root is not null")
     least = some.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("__rows"))
     found = some.join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    none = members.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    none = rows.filter("root is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return found.unionByName(none)
 
 
-def _roots(docs: DataFrame, sketched: DataFrame, scratch: Scratch, texts: _Texts, percent: int) -> DataFrame | None:
-    """(node, root) of the classes that link with another, or None if none does."""
-    sent = sketched.select(F.col("class").alias("a"), F.explode("sent").alias("key"))
-    # equal sets come from several tasks: a class does not pair with itself
-    before = F.lag("a").over(Window.partitionBy("key").orderBy("a"))
-    chained = sent.withColumn("b", before).filter("b is not null and b <> a").select("key", "a", "b")
-    tied = sketched.filter("size(tied) > 0").select(F.col("class").alias("a"), F.explode(F.arrays_zip("tied", "ties")).alias("__t")).select(F.col("__t.tied").alias("key"), "a", F.col("__t.ties").alias("b"))
-    edges = scratch.write(chained.unionByName(tied), "edges")
-    pairs = edges.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
-    best = pairs.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
-    best = scratch.write(best.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs0")
-    links = scratch.write(texts.links(best), "links0")
-    roots = scratch.write(components(links, scratch, "c0_"), "roots0")
-    # all that open keys tie together has one pivot, so each class is compared with one other
-    groups = scratch.write(components(_open_edges(edges, roots), scratch, "g_"), "groups")
-    spokes = groups.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-    known = scratch.write(texts.differences(spokes), "differences")
-    spoken = known.filter("linked").select("a", "b")
-    if spoken.limit(1).count():
-        links = links.unionByName(spoken)
-        roots = scratch.write(components(links, scratch, "c1_"), "roots1")
-    by_root = _side(roots)
-    told = known.join(by_root.withColumnRenamed("node", "a"), "a", "left").select("a", "n", "d", F.coalesce("root", "a").alias("r"), F.explode("keys").alias("key"))
-    one, two = told.select("key", *[F.col(c).alias(f"{c}1") for c in "andr"]), told.select("key", *[F.col(c).alias(f"{c}2") for c in "andr"])
-    met = one.join(two, "key").filter((F.col("a1") > F.col("a2")) & (F.col("r1") != F.col("r2")) & (100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2")))
-    met = met.filter(F.abs(F.col("d1") - F.col("d2")) * (100 + percent) <= (100 - percent) * (F.col("n1") + F.col("n2")))
-    fresh = scratch.write(met.select(F.col("a1").alias("a"), F.col("a2").alias("b")).distinct(), "pairs1")
-    if fresh.limit(1).count():
-        more = scratch.write(texts.links(fresh), "links1")
-        if more.limit(1).count():
-            roots = scratch.write(components(links.unionByName(more), scratch, "c2_"), "roots2")
-    return roots
-
-
-def _open_edges(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """Edges (a, b) of the keys that more than one component shares."""
-    side = _side(roots)
-
-    def root_of(df: DataFrame, c: str, out: str) -> DataFrame:
-        return df.join(side.select(F.col("node").alias(c), F.col("root").alias(out)), c, "left").withColumn(out, F.coalesce(out, c))
-
-    # the edges of a key are a tree of its members: they meet in one component if no edge leaves it
-    apart = root_of(root_of(edges, "a", "ra"), "b", "rb").filter("ra <> rb").select("key").distinct()
-    return edges.join(apart, "key", "left_semi").select("a", "b")
-
-
 def near_duplicates_removed(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one row of each component: that of the least doc_id.
+    """``docs`` with one row of each component: that of the least doc_id (null last).
 
-    Rows without words and rows with a null doc_id all stay; of rows that repeat a kept doc_id one stays.
+    Rows without words all stay. What stays is settled by component and row, so rows that repeat an id with
+    another text are rows of their own; of rows with equal id and text in a component one stays.
     """
-    found = join(docs, shingle, percent).filter("doc_id is not null and n_shingles > 0")
-    kept_ids = found.groupBy("doc_id").agg(F.min("component_id").alias("c"), F.count(F.lit(1)).alias("__rows")).filter("doc_id = c").select(F.col("doc_id").alias("__id"), "__rows")
-    kept_ids = Scratch(docs.sparkSession, "kept").write(kept_ids, "ids")
-    words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)) & F.col("doc_id").isNotNull()
-    single, several = kept_ids.filter("__rows = 1"), kept_ids.filter("__rows > 1")
-    once = docs.filter(words).join(_side(single), F.col("doc_id") == F.col("__id"), "left_semi")
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    first = docs.filter(words).join(_side(several), F.col("doc_id") == F.col("__id"), "left_semi").withColumn("__nth", nth).filter("__nth = 1").drop("__nth")
-    return once.unionByName(first).unionByName(docs.filter(~words))
+    scratch = Scratch(docs.sparkSession, "kept")
+    rows = _members(docs, shingle, percent, scratch).filter("root is not null")
+    address = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")
+    kept = rows.groupBy("root").agg(F.min(address).alias("c"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    told = rows.join(kept.select("root", "c"), "root").select("doc_id", "h", (address == F.col("c")).alias("stays"))
+    # a text has one component, so all rows of one id and text stay or go together
+    told = scratch.write(told.groupBy(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).agg(F.max("stays").alias("__stays"), F.count(F.lit(1)).alias("__rows")), "told")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__h"))
+    words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    gone, several = told.filter("not __stays or __rows > 1").select("__id", "__h"), told.filter("__stays and __rows > 1").select("__id", "__h")
+    rest = docs.join(_side(gone), same & words, "left_anti")
+    nth = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(1)))
+    first = docs.filter(words).join(_side(several), same, "left_semi").withColumn("__nth", nth).filter("__nth = 1").drop("__nth")
+    return rest.unionByName(first)
