@@ -263,42 +263,80 @@ def test_bands_lose_no_pair():
                     assert differ == 0 or any(segments - spare - 1 >= differ for _, segments, spare in shared)
 
 
-def _hashes(text, k=3):
-    return shingle_sets(Words(pa.array([text]), SPACE_WORDS), k)[0]
-
-
-def test_linked_members_share_a_difference_key():
-    none = simjoin.Common(np.empty(0, np.uint64), np.empty(0, np.int64))
-    base = [f"w{i}" for i in range(20)]
-    a = base[:8] + ["x", "y"] + base[10:19]
-    pivot, one, two = (_hashes(" ".join(w)) for w in (base, a, [*a, "w19"]))
-    keys = [simjoin.difference_keys(1, x, pivot, 90, none) for x in (one, two)]
-    assert len(np.intersect1d(one, two)) == 17 and len(np.union1d(one, two)) == 18
-    assert len(np.intersect1d(*keys))
-    # real keys of small sets: the pivot, a member at any distance, and another that differs by as much as links
-    for percent, sizes in ((90, range(9, 31)), (80, range(4, 27))):
-        for n in sizes:
-            for away in range(1, n):
-                x = np.arange(1, n + 1, dtype=np.uint64)
-                y = np.concatenate([x[away // 2 :], np.arange(1000, 1000 + away - away // 2, dtype=np.uint64)])
-                got = simjoin.difference_keys(1, x, y, percent, none)
-                for add in (True, False):
-                    other = np.append(x, np.uint64(500)) if add else x[:-1]
-                    both, union = min(n, len(other)), max(n, len(other))
-                    if 100 * both < percent * union:
-                        continue
-                    by_pivot = all(100 * len(np.intersect1d(z, y)) >= percent * len(np.union1d(z, y)) for z in (x, other))
-                    assert by_pivot or len(np.intersect1d(got, simjoin.difference_keys(1, other, y, percent, none))), (percent, n, away, add)
-
-
-@pytest.mark.parametrize("percent", [80, 90, 95])
-def test_linked_members_are_near_or_far_together(percent):
-    for n in range(1, 40):
-        for m in range(n, n * 100 // percent + 1):
-            most = (100 - percent) * (n + m) // (100 + percent)
-            for d in range(1, 9 * simjoin.most_of(m * 100 // percent, percent) + 3):
-                for e in range(max(1, d - most), d + most + 1):
-                    assert any(one and two for one, two in zip(simjoin.regions(n, d, percent), simjoin.regions(m, e, percent), strict=True)), (n, m, d, e)
+def test_parity_bits_bound_the_difference():
+    rnd = np.random.default_rng(5)
+    for n, m, both in ((1, 1, 0), (3, 5, 3), (60, 70, 50), (100, 400, 90), (500, 510, 490)):
+        pool = np.unique(rnd.integers(0, 1 << 63, n + m, dtype=np.uint64))
+        x, y = pool[:n], np.concatenate([pool[:both], pool[n : n + m - both]])
+        far = simjoin.hamming(simjoin.parity_bits(x), simjoin.parity_bits(y))
+        assert far <= n + m - 2 * both and (far - (n + m)) % 2 == 0 and simjoin.hamming(simjoin.parity_bits(x), simjoin.parity_bits(x)) == 0
+
+
+@pytest.mark.parametrize("percent", [50, 80, 90, 95])
+def test_links_never_cross_the_outer_radius(percent):
+    radius = simjoin.Radius(percent)
+    for n in range(1, 60):
+        for m in range(-(-n * percent // 100), n * 100 // percent + 1):
+            apart = (100 - percent) * (n + m) // (100 + percent)
+            assert apart <= min(radius.most(n), radius.most(m)) and radius.linked(n + m, apart) and not radius.linked(n + m, apart + 1)
+            assert radius.inner(n) + apart <= radius.outer(m)
+
+
+@pytest.mark.parametrize("lead", ["near", "empty"])
+def test_members_of_a_leader_against_brute_force(spark, tmp_path, lead):
+    rnd, percent = random.Random(lead), 80
+    base, sets = set(range(1000, 1024)), []
+    for _ in range(150):
+        gone, new = rnd.sample(sorted(base), rnd.randint(0, 5)), [rnd.randrange(12) for _ in range(rnd.randint(0, 5))]
+        sets.append(frozenset(base - set(gone) | set(new)))
+    sets = sorted(set(sets) - {frozenset(base)}, key=sorted)
+    rows = [(i, 0, len(s), len(s ^ base), sorted(s ^ base)) if lead == "near" else (i, 0, len(s), len(s), sorted(s)) for i, s in enumerate(sets)]
+    known = spark.createDataFrame(rows, "a long, lead long, n long, d long, parts array<long>")
+    scratch = simjoin.Scratch(spark, "test")
+    links = simjoin._within(known, spark.createDataFrame([], "node long, root long"), percent, scratch, lead).collect()
+    assert all(100 * len(sets[r.a] & sets[r.b]) >= percent * len(sets[r.a] | sets[r.b]) for r in links)
+    near = [[100 * len(x & y) >= percent * len(x | y) for y in sets] for x in sets]
+    found = [[i == j for j in range(len(sets))] for i in range(len(sets))]
+    for r in links:
+        found[r.a][r.b] = found[r.b][r.a] = True
+    assert _reach(found) == _reach(near) and len(set(_reach(near))) > 1
+
+
+def _reach(linked):
+    """The least member that each one reaches."""
+    root = [None] * len(linked)
+    for i in range(len(linked)):
+        todo = [i] if root[i] is None else []
+        while todo:
+            j = todo.pop()
+            if root[j] is None:
+                root[j] = i
+                todo += [k for k, link in enumerate(linked[j]) if link]
+    return root
+
+
+def test_members_of_a_key_choose_leaders_until_all_are_known(spark, monkeypatch):
+    # unlike texts with one passage in common, and copies of some: keys of the passage have many far members
+    rnd = random.Random(9)
+    passage = [f"p{i}" for i in range(40)]
+    texts = []
+    for k in range(30):
+        own = passage + [f"t{k}_{i}" for i in range(45)]
+        texts += [own, [*own, "z"], [*own[:-6], *"abcdef"]][: 1 + k % 3]
+    rnd.shuffle(texts)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    want = _components(rows, 3, 90)
+    monkeypatch.setattr(simjoin, "ROUNDS", 1)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in simjoin.join(docs).collect()} == want
+
+
+def test_each_text_of_a_repeated_id_is_a_row_of_its_own(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    c, d, e = (" ".join(f"{k}{i}" for i in range(30)) for k in "cde")
+    rows = [(3, a), (7, a), (7, b), (7, b), (None, c), (None, c), (5, c + " x"), (None, d), (None, d + " x"), (None, e), (8, ""), (8, None)]
+    kept = [(r.doc_id or 0, r.text) for r in simjoin.near_duplicates_removed(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(kept, key=str) in (sorted([(3, a), (7, b), (5, c + " x"), (0, t), (0, e), (8, ""), (8, None)], key=str) for t in (d, d + " x"))
 
 
 def test_short_variants_of_one_text(spark):

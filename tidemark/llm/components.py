@@ -25,6 +25,9 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "stars") -> DataF
     # every edge points from the greater to the lesser node
     current = scratch.write(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}0")
     rows, before, step = current.count(), None, 0
+    if rows and current.agg(F.count_distinct("a")).first()[0] == rows and not current.join(side(current.select(F.col("b").alias("a")), rows), "a", "left_semi").limit(1).count():
+        rows_of_stars = current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+        return current.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(rows_of_stars)
     while rows:
         near = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = near.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))

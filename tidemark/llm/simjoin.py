@@ -261,13 +261,13 @@ def _side(df: DataFrame) -> DataFrame:
 def _texts(docs: DataFrame, sketched: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
     """(class, n, bits, text) of the wanted classes (column a)."""
     # a class is addressed by id and text of one of its rows, with a null id only if it has no other
-    rows_of = sketched.select("doc_id", "h", "n", "class", "bits").join(_side(wanted).withColumnRenamed("a", "class"), "class", "left_semi")
+    rows_of = sketched.select("doc_id", "h", "n", "class", "bits").join(_side(wanted.withColumnRenamed("a", "class")), "class", "left_semi")
     address = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")
     chosen = rows_of.groupBy("class").agg(F.min(address).alias("c"), F.max("n").alias("n"), F.first("bits", ignorenulls=True).alias("bits"))
     chosen = scratch.write(chosen.select("class", "n", "bits", F.col("c.doc_id").alias("__id"), F.col("c.h").alias("__h")), "chosen")
     where = _side(chosen.select("class", "__id", "__h"))
     texts = docs.select("doc_id", "text").join(where, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__h"))).select("class", "text")
-    texts = scratch.write(texts, "rows")
+    texts = scratch.write(texts, "held_texts")
     repeated = texts.groupBy("class").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("class")
     if repeated.limit(1).count():
         side = F.broadcast(repeated) if repeated.count() <= BROADCAST_ROWS else repeated
@@ -329,7 +329,7 @@ def _measured(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int, sc
 
 def _rooted(df: DataFrame, roots: DataFrame, node: str, out: str) -> DataFrame:
     """``df`` with the root of the component of ``node``."""
-    return df.join(_side(roots).select(F.col("node").alias(node), F.col("root").alias(out)), node, "left").withColumn(out, F.coalesce(out, node))
+    return df.join(roots.select(F.col("node").alias(node), F.col("root").alias(out)), node, "left").withColumn(out, F.coalesce(out, node))
 
 
 def _within(known: DataFrame, roots: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
@@ -338,14 +338,16 @@ def _within(known: DataFrame, roots: DataFrame, percent: int, scratch: Scratch,
     Every pair of members of a leader that links is found, or both are linked with one third member.
     """
     lose, gain = 100 - percent, 100 + percent
-    members = scratch.write(_rooted(known, roots, "a", "root"), f"members{name}")
+    members = _rooted(known, roots, "a", "root")
     open_leads = members.groupBy("lead").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("lead")
-    members = scratch.write(members.join(_side(open_leads), "lead", "left_semi"), f"open{name}")
+    members = scratch.write(members.join(open_leads, "lead", "left_semi"), f"open{name}")
+    if not members.limit(1).count():
+        return members.select("a", F.col("a").alias("b"))
     # Differences of d and e shingles are at most d + e apart. If that is enough for any partner, it is for the member of the
     # leader with the most room, so all such pairs hang together through that one.
     room = F.lit(lose) * F.col("n") - F.lit(gain) * F.col("d")
     roomy = members.groupBy("lead").agg(F.max_by(F.struct(F.col("a").alias("b"), room.alias("room")), F.struct(room, "a")).alias("m"))
-    near = members.select("lead", "a", room.alias("room")).join(_side(roomy), "lead").filter((F.col("room") + F.col("m.room") >= 0) & (F.col("a") != F.col("m.b"))).select("a", F.col("m.b").alias("b"))
+    near = members.select("lead", "a", room.alias("room")).join(roomy, "lead").filter((F.col("room") + F.col("m.room") >= 0) & (F.col("a") != F.col("m.b"))).select("a", F.col("m.b").alias("b"))
     # Others share (d + e - most) / 2 of their parts at least: some are among the first (most + d - e) / 2 + 1 of d.
     most = F.floor(F.lit(lose) * (F.col("n") + F.floor(F.col("n") * 100 / percent)) / gain)
     each = members.select("lead", "a", "n", "d", "root", F.explode("parts").alias("part"))
@@ -383,7 +385,7 @@ def _whole_sets(texts: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
                 lists = _lists(np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets]), len(sets))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), lists], ["a", "n", "parts"])
 
-    rows = texts.select(F.col("class").alias("a"), "text").join(_side(wanted), "a", "left_semi")
+    rows = texts.select(F.col("class").alias("a"), "text").join(wanted, "a", "left_semi")
     return rows.mapInArrow(run, "a long, n long, parts array<long>")
 
 
@@ -392,38 +394,37 @@ def _roots(docs: DataFrame, sketched: DataFrame, shingle: int, percent: int, scr
     held = scratch.write(_held(sketched), "held0")
     several = held.groupBy("key").agg(F.min("a").alias("lead"), F.max("a").alias("last")).filter("lead <> last").select("key", "lead")
     held = scratch.write(held.join(several, "key"), "held")
-    wanted = scratch.write(held.select("a").distinct(), "wanted")
-    texts = _texts(docs, sketched, wanted, scratch)
+    scratch.drop("held0")
+    if not held.limit(1).count():
+        return docs.sparkSession.createDataFrame([], "node long, root long")
+    texts = _texts(docs, sketched, scratch.write(held.select("a").distinct(), "wanted"), scratch)
     # at first each class meets the leader (the least class of a key) with which it shares most keys
     shared = held.filter("a <> lead").groupBy("a", "lead").agg(F.count(F.lit(1)).alias("c"))
-    best = shared.groupBy("a").agg(F.max_by("lead", F.struct("c", "lead")).alias("b"))
-    known = _measured(best, texts, shingle, percent, scratch, "0")
-    tried = scratch.write(best, "tried0")
+    tried = scratch.write(shared.groupBy("a").agg(F.max_by("lead", F.struct("c", "lead")).alias("b")), "pairs0")
+    known = _measured(tried, texts, shingle, percent, scratch, "0")
     roots = scratch.write(components(known.filter("linked").select("a", "b"), scratch, "c0_"), "roots0")
     held = held.select("key", "a")
     for k in range(1, ROUNDS + 1):
         # a key asks for the least home of its members, where each is at home with the least leader within its radius
         homes = known.filter("inside").groupBy("a").agg(F.min("b").alias("home"))
-        homes = scratch.write(homes, f"homes{k}")
-        state = _rooted(held, roots, "a", "root").join(_side(homes), "a", "left").withColumn("home", F.coalesce("home", "a"))
-        state = scratch.write(state, f"state{k}")
+        state = _rooted(held, roots, "a", "root").join(homes, "a", "left").withColumn("home", F.coalesce("home", "a"))
         leads = state.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min("home").alias("lead")).filter("x <> y").select("key", "lead")
-        asked = scratch.write(state.select("key", "a").join(leads, "key"), f"asked{k}")
-        scratch.drop(f"state{k}")
+        asked = scratch.write(held.join(leads, "key"), f"asked{k}").filter("a <> lead")
         if not asked.limit(1).count():
             return _finished(known, roots, percent, scratch, None)
-        pairs = asked.filter("a <> lead").select("a", F.col("lead").alias("b")).distinct()
+        pairs = asked.select("a", F.col("lead").alias("b")).distinct()
         pairs = scratch.write(pairs.join(tried, ["a", "b"], "left_anti"), f"pairs{k}")
-        fresh = _measured(pairs, texts, shingle, percent, scratch, str(k))
-        known, tried = known.unionByName(fresh), tried.unionByName(pairs)
-        if fresh.filter("linked").limit(1).count():
-            roots = scratch.write(components(known.filter("linked").select("a", "b"), scratch, f"c{k}_"), f"roots{k}")
+        if pairs.limit(1).count():
+            fresh = _measured(pairs, texts, shingle, percent, scratch, str(k))
+            known, tried = known.unionByName(fresh), tried.unionByName(pairs)
+            if fresh.filter("linked").limit(1).count():
+                roots = scratch.write(components(known.filter("linked").select("a", "b"), scratch, f"c{k}_"), f"roots{k}")
         settled = known.filter("inside").select("a", F.col("b").alias("lead"))
-        held = scratch.write(asked.filter("a <> lead").join(settled, ["a", "lead"], "left_anti").select("key", "a"), f"held{k}")
+        held = scratch.write(asked.join(settled, ["a", "lead"], "left_anti").select("key", "a"), f"held{k}")
     left = _rooted(held, roots, "a", "root")
     open_keys = left.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("key")
     lone = scratch.write(held.join(open_keys, "key", "left_semi").select("a").distinct(), "lone")
-    return _finished(known, roots, percent, scratch, _whole_sets(texts, lone, shingle))
+    return _finished(known, roots, percent, scratch, _whole_sets(texts, lone, shingle) if lone.limit(1).count() else None)
 
 
 def _finished(known: DataFrame, roots: DataFrame, percent: int, scratch: Scratch, lone: DataFrame | None) -> DataFrame:
@@ -447,19 +448,21 @@ def _members(docs: DataFrame, shingle: int, percent: int, scratch: Scratch) -> D
     with arrow_bytes(spark):
         sketched = scratch.write(_sketched(docs, shingle, Bands(percent), common), "sketched")
         roots = _roots(docs, sketched, shingle, percent, scratch)
-    some = sketched.select("doc_id", "h", "n", F.col("class").alias("a"))
-    return scratch.write(_rooted(some, roots, "a", "root").drop("a"), "rows_with_roots")
+    # few classes link with another, so the rows need not be dealt by class
+    linked = _side(roots.select(F.col("node").alias("class"), "root"))
+    some = sketched.select("doc_id", "h", "n", "class").join(linked, "class", "left")
+    return scratch.write(some.select("doc_id", "h", "n", F.coalesce("root", "class").alias("root")), "rows")
 
 
 def join(docs: DataFrame, shingle: int = 3, percent: int = 90) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id."""
     scratch = Scratch(docs.sparkSession, "simjoin")
     rows = _members(docs, shingle, percent, scratch)
-    some = rows.filter("root is not null")
-    least = some.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("__rows"))
-    found = some.join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    none = rows.filter("root is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return found.unionByName(none)
+    least = rows.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("rows"))
+    # a component of one row needs no partner: only the roots of several rows are joined back
+    several = scratch.write(least.filter("rows > 1").select("root", "component_id"), "several")
+    found = rows.join(_side(several), "root", "left")
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def near_duplicates_removed(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
