@@ -141,3 +141,36 @@ def _fold(name, points):
             "irate": lambda: rise[-1] / (w[-1][0] - w[-2][0]),
         }[name]()
     return out
+
+
+def test_limits_of_points(engine):
+    assert engine.range_frame("vector(1)", 0, 10_999, 1) is not None
+    for ask in (lambda: engine.range_frame("vector(1)", 0, 11_000, 1), lambda: engine.instant("count_over_time(vector(1)[11000s:1s])", 0)):
+        with pytest.raises(q.QueryError):
+            ask()
+
+
+def test_a_union_keeps_what_both_stores_know(spark, tmp_path):
+    rows = [({"__name__": "m"}, 1000 * i, float(i)) for i in range(5)]
+    Store.of_rows(spark.createDataFrame(rows, "labels map<string,string>, t long, v double")).write(str(tmp_path / "a"))
+    one = Store.read(spark, str(tmp_path / "a"))
+    assert one.interval_ms == 1000 and one.by_day
+    both = one.union(Store.read(spark, str(tmp_path / "a")))
+    assert both.by_day and both.interval_ms == 1000 and "day" in both.samples.columns
+    plain = one.union(Store(one.series, one.samples.select("sid", "t", "v")))
+    assert not plain.by_day and plain.interval_ms is None
+
+
+def _plan(frame):
+    return frame._jdf.queryExecution().toString()
+
+
+def test_plans(spark):
+    from tidemark import datasets
+
+    engine = Engine(datasets.event_value(spark, "/root/testdata/sf0.001"))
+    at = 1_704_500_000_000
+    for query in ("topk(3, event_value)", "min(event_value)", "event_value + event_value", "event_value / on (user_id) group_left sum by (user_id) (event_value)"):
+        assert "SinglePartition" not in _plan(engine.range_frame(query, at, at + 7_200_000, 3_600_000)), query
+    scan = _plan(engine.range_frame("rate(event_value[1h])", at, at + 7_200_000, 3_600_000))
+    assert "GreaterThanOrEqual(ts," in scan and "LessThan(ts," in scan

@@ -41,6 +41,20 @@ def test_modifiers_and_names():
     assert duration_ms("1d2h") == 93_600_000
 
 
+@pytest.mark.parametrize(
+    "pattern,java",
+    [("[[:alpha:]]+", r"[\p{Alpha}]+"), ("[[:^digit:]_]", r"[\P{Digit}_]"), ("a[b[c]", r"a[b\[c]"), ("[]a]", r"[\]a]"), ("[^]a&&b]", r"[^\]a\&\&b]"), (r"\s\v", r"[\t\n\f\r ]\x0B"), (r"\pL\p{Greek}\P{Lu}\p{^Lu}", r"\p{L}\p{IsGreek}\P{Lu}\P{Lu}"), (r"\Qa.b\E[x]", r"\Qa.b\E[x]"), ("[[:word:]]", r"[\w]")],
+)
+def test_what_java_reads_otherwise(pattern, java):
+    assert java_pattern(pattern) == java
+
+
+@pytest.mark.parametrize("pattern", ["(?U)a", r"\h", "[[:foo:]]", r"a\Z", "a**"])
+def test_what_is_no_pattern(pattern):
+    with pytest.raises(ValueError):
+        java_pattern(pattern)
+
+
 def test_patterns():
     assert anchored("a|b") == r"(?d)\A(?:a|b)\z"
     assert java_pattern("(?P<x>a)") == "(?<x>a)"

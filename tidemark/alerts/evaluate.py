@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from typing import Protocol
 
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..engine import Engine
@@ -26,6 +28,10 @@ class Rule:
     labels: dict[str, str] = field(default_factory=dict)
     datasource: str = ""
     enabled: bool = True
+    description: str = ""
+    annotations: dict[str, str] = field(default_factory=dict)
+    created_ms: int = 0
+    updated_ms: int = 0
 
     def problems(self, datasources: set[str] | None = None) -> list[str]:
         """What keeps the rule from being saved; the query itself is not parsed then."""
@@ -50,33 +56,50 @@ def classify(error: Exception) -> str:
     return "query" if isinstance(error, ValueError) else "invalid"
 
 
-def observed(engine: Engine, rule: Rule, now_ms: int) -> DataFrame:
-    """(fingerprint, labels, value) of the rule's query; of equal label sets the last one counts."""
-    result = engine.instant(rule.query, now_ms)
-    if result.kind == "scalar":
-        rows = result.frame.select(L.empty().alias("labels"), "v")
-    elif result.kind == "vector":
-        rows = result.frame.select("labels", "v")
-    else:
+class Source(Protocol):
+    """Where a rule's query is evaluated."""
+
+    def rows(self, query: str, now_ms: int) -> DataFrame:
+        """(labels, v) of an instant vector or a scalar; raises ValueError, OSError or a Spark error."""
+
+
+@dataclass
+class Local:
+    """The engine of this process."""
+
+    engine: Engine
+
+    def rows(self, query: str, now_ms: int) -> DataFrame:
+        result = self.engine.instant(query, now_ms)
+        if result.kind == "scalar":
+            return result.frame.select(L.empty().alias("labels"), "v")
+        if result.kind == "vector":
+            return result.frame.select("labels", "v")
         raise ValueError(f"a rule needs a scalar or an instant vector, not a {result.kind}")
+
+
+def observed(source: Source | Engine, rule: Rule, now_ms: int) -> DataFrame:
+    """(fingerprint, labels, value) of the rule's query; of equal label sets the last one counts."""
+    rows = (Local(source) if isinstance(source, Engine) else source).rows(rule.query, now_ms)
     labels = L.overlay(F.col("labels"), L.literal(rule.labels)) if rule.labels else F.col("labels")
     keyed = rows.select(labels.alias("labels"), F.col("v").alias("value"), L.text_of(F.col("labels")).alias("okey")).withColumn("fingerprint", F.sha2(L.text_of(F.col("labels")), 256))
     return keyed.groupBy("fingerprint").agg(F.max_by("labels", "okey").alias("labels"), F.max_by("value", "okey").alias("value"))
 
 
-def transitions(known: DataFrame, seen: DataFrame, rule: Rule, now_ms: int, cap: int = INSTANCE_CAP) -> DataFrame:
+def transitions(known: DataFrame, seen: DataFrame, rule: Rule, now_ms: int, cap: int | None = INSTANCE_CAP) -> DataFrame:
     """Known instances of a rule and what its query shows, as the instances after it, with ``before`` and ``changed``.
 
     New instances are taken in order of fingerprint until the known ones, resolved or not, fill the cap;
-    the rest have the state null.
+    the rest have the state null. No cap: all are taken.
     """
     own = known.filter(F.col("rule_id") == rule.id).select("fingerprint", F.col("labels").alias("l0"), F.col("state").alias("before"), F.col("value").alias("v0"), "active_ms", "started_ms")
-    both = own.join(seen.withColumn("holds", F.lit(True)), "fingerprint", "full_outer")
+    both = own.join(seen.withColumn("holds", F.lit(True)), "fingerprint", "full_outer").withColumn("taken", F.lit(True))
+    if cap is not None:
+        fresh = seen.select("fingerprint").join(own.select("fingerprint"), "fingerprint", "left_anti")
+        first = fresh.orderBy("fingerprint").limit(max(0, cap - own.count())).withColumn("taken", F.lit(True))
+        both = both.drop("taken").join(F.broadcast(first), "fingerprint", "left")  # no more rows than the cap
     holds, now, for_ms = F.coalesce("holds", F.lit(False)), F.lit(now_ms).cast("long"), F.lit(int(rule.for_s * 1000)).cast("long")
     new = F.col("before").isNull()
-    rank = F.row_number().over(Window.partitionBy(new).orderBy("fingerprint"))
-    tracked = F.sum(F.when(~new, 1).otherwise(0)).over(Window.partitionBy())
-    refused = new & (tracked + rank > cap)
     before = F.when(new | (F.col("before") == S.RESOLVED), S.OK).otherwise(F.col("before"))
     active = F.when(before == S.OK, F.when(holds, now)).otherwise(F.col("active_ms"))
     after = S.following(before, holds, active, now, for_ms)
@@ -84,7 +107,7 @@ def transitions(known: DataFrame, seen: DataFrame, rule: Rule, now_ms: int, cap:
         F.lit(rule.id).alias("rule_id"),
         "fingerprint",
         F.coalesce("labels", "l0").alias("labels"),
-        F.when(refused, F.lit(None)).otherwise(after).alias("state"),
+        F.when(new & F.col("taken").isNull(), F.lit(None)).otherwise(after).alias("state"),
         F.coalesce("value", "v0").alias("value"),
         active.alias("active_ms"),
         F.when(before == S.OK, now).otherwise(F.col("started_ms")).alias("started_ms"),
@@ -93,25 +116,32 @@ def transitions(known: DataFrame, seen: DataFrame, rule: Rule, now_ms: int, cap:
     return out.withColumn("changed", F.col("state").isNotNull() & (F.col("state") != F.col("before"))).filter("state is null or not (before = 'ok' and state = 'ok')")
 
 
+HISTORY = "rule_id string, fingerprint string, labels map<string,string>, before string, state string, value double, at_ms long"
+_NAMES = ("rule_id", "fingerprint", "labels", "state", "value", "active_ms", "started_ms")
+
+
 @dataclass
 class Outcome:
     instances: DataFrame
     history: DataFrame
     refused: int = 0
     failure: str | None = None
+    error: str = ""
 
 
-def evaluate(engine: Engine, rule: Rule, known: DataFrame, now_ms: int, cap: int = INSTANCE_CAP) -> Outcome:
-    """Instances to keep and history rows (rule_id, fingerprint, labels, before, state, value, at_ms); a failed query changes nothing."""
+def evaluate(source: Source | Engine, rule: Rule, known: DataFrame, now_ms: int, cap: int = INSTANCE_CAP) -> Outcome:
+    """Instances to keep and history rows (see HISTORY); a query that fails, before it runs or in it, changes nothing."""
+    spark = known.sparkSession
     try:
-        seen = observed(engine, rule, now_ms)
-    except ValueError as error:
-        return Outcome(known, known.limit(0), failure=classify(error))
-    after = transitions(known, seen, rule, now_ms, cap)
-    names = [c.split()[0] for c in INSTANCES.replace("map<string,string>", "map").split(", ")]
-    kept = after.filter(F.col("state").isin(S.PENDING, S.FIRING)).select(*names)
-    history = after.filter("changed").select("rule_id", "fingerprint", "labels", "before", "state", "value", F.lit(now_ms).cast("long").alias("at_ms"))
-    return Outcome(known.filter(F.col("rule_id") != rule.id).select(*names).unionByName(kept), history, refused=after.filter("state is null").count())
+        after = transitions(known, observed(source, rule, now_ms), rule, now_ms, cap)
+        rows = after.filter("state is not null").collect()  # at most the cap and the known ones
+        refused = after.filter("state is null").count() if len(rows) >= cap else 0
+    except (ValueError, OSError, PySparkException) as error:
+        return Outcome(known, known.limit(0), failure=classify(error), error=str(error))
+    kept = spark.createDataFrame([tuple(r[n] for n in _NAMES) for r in rows if r.state in (S.PENDING, S.FIRING)], INSTANCES)
+    told = [(r.rule_id, r.fingerprint, r.labels, r.before, r.state, r.value, now_ms) for r in sorted(rows, key=lambda r: r.fingerprint) if r.changed]
+    rest = known.filter(F.col("rule_id") != rule.id).select(*_NAMES)
+    return Outcome(rest.unionByName(kept), spark.createDataFrame(told, HISTORY), refused)
 
 
 def active(instances: DataFrame, rule_id: str | None = None) -> DataFrame:

@@ -11,18 +11,17 @@ import urllib.request
 from collections import Counter
 from collections.abc import Callable
 
-SEVERITIES = ("info", "warning", "critical")
-_ALIASES = {"information": "info", "notice": "info", "warn": "warning", "error": "critical", "crit": "critical", "fatal": "critical", "page": "critical"}
+SEVERITIES = ("debug", "info", "warning", "error", "critical")
 QUEUE_SIZE, RETRIES, FIRST_WAIT_S, LONGEST_WAIT_S = 1024, 3, 0.2, 5.0
 
 
 def severity_of(text: str) -> str:
     """The canonical severity; an unknown one is a warning."""
     word = text.strip().lower()
-    return word if word in SEVERITIES else _ALIASES.get(word, "warning")
+    return word if word in SEVERITIES else "warning"
 
 
-def wanted(state: str, severity: str, least: str = "info") -> bool:
+def wanted(state: str, severity: str, least: str = "debug") -> bool:
     """Only what fires or is resolved is told, from ``least`` on."""
     return state in ("firing", "resolved") and SEVERITIES.index(severity_of(severity)) >= SEVERITIES.index(severity_of(least))
 
@@ -31,11 +30,12 @@ class Permanent(Exception):
     """A refusal that trying again will not change."""
 
 
-def post(url: str, timeout_s: float = 5.0) -> Callable[[dict], None]:
+def post(url: str, timeout_s: float = 5.0, token: str = "") -> Callable[[dict], None]:
     """A sender that posts JSON; 4xx is permanent, 5xx and transport errors may pass."""
+    headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {token}"} if token else {})
 
     def send(message: dict) -> None:
-        request = urllib.request.Request(url, json.dumps(message).encode(), {"Content-Type": "application/json"})
+        request = urllib.request.Request(url, json.dumps(message).encode(), headers)
         try:
             urllib.request.urlopen(request, timeout=timeout_s).close()
         except urllib.error.HTTPError as error:
@@ -83,6 +83,19 @@ class Dispatcher:
                     self._sleep(min(LONGEST_WAIT_S, FIRST_WAIT_S * 2**attempt))
         self.counts["failed_exhausted"] += 1
 
+    def exposition(self) -> dict[str, int]:
+        """Names and values of the sender's own metrics."""
+        c = self.counts
+        return {
+            "alerts_notify_sent_total": c["sent"],
+            'alerts_notify_failed_total{reason="permanent"}': c["failed_permanent"],
+            'alerts_notify_failed_total{reason="exhausted"}': c["failed_exhausted"],
+            'alerts_notify_dropped_total{reason="queue_full"}': c["dropped_queue_full"],
+            "alerts_notify_filtered_total": c["filtered"],
+            "alerts_notify_retries_total": c["retries"],
+            "alerts_notify_queue_depth": self._queue.qsize(),
+        }
+
     def close(self) -> None:
         self._queue.put(None)
         self._thread.join()

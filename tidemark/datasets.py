@@ -20,10 +20,15 @@ def millis(ts: Column) -> Column:
     return F.floor(F.unix_micros(ts.cast("timestamp")) / F.lit(1000)).cast("long")
 
 
+def _stamp(rows: DataFrame, name: str) -> str | None:
+    """``name`` if it holds timestamps without zone, by whose bounds files can be pruned."""
+    return name if rows.schema[name].dataType.typeName() == "timestamp_ntz" else None
+
+
 def event_value(spark: SparkSession, sf_dir: str) -> Store:
     """Gauge ``event_value{user_id,event_type}``."""
     rows = table(spark, sf_dir, "events").select("ts", "value", *EVENT_LABELS)
-    return Store.of_columns(rows, "event_value", EVENT_LABELS, millis(F.col("ts")), F.col("value"))
+    return Store.of_columns(rows, "event_value", EVENT_LABELS, millis(F.col("ts")), F.col("value"), raw=_stamp(rows, "ts"))
 
 
 def events_total(spark: SparkSession, sf_dir: str) -> Store:

@@ -75,7 +75,7 @@ class Engine:
         if end < start:
             raise q.QueryError("the end lies before the start")
         count = (end - start) // step + 1
-        if count - 1 > MAX_POINTS:
+        if count > MAX_POINTS:
             raise q.QueryError(f"more than {MAX_POINTS} points; use a shorter range or a longer step")
         node = parse(query)
         if kind_of(node) not in (q.SCALAR, q.VECTOR):

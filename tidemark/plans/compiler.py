@@ -276,11 +276,13 @@ class Compiler:
             how = "left_semi" if node.op == "and" else "left_anti"
             return Vector(rows.join(others.select(*on), on, how).select(*columns), left.dim)
         # the sides' series can share ids under different labels
-        side = lambda df, k: df.withColumn("sid", F.xxhash64(F.lit(k), "sid"))
+        def side(df: DataFrame, k: int) -> DataFrame:
+            # all of the left side come before those of the right
+            out = df.withColumn("sid", F.xxhash64(F.lit(k), "sid"))
+            return out.withColumns({c: F.concat(F.lit(str(k)), c) for c in ("okey", "ord") if c in df.columns})
+
         fresh = others.join(rows.select(*on), on, "left_anti")
-        if ordered:
-            fresh = fresh.withColumn("ord", F.col("ord") + F.lit(1 << 40))
-        dim = side(left.dim, 0).unionByName(side(right.dim.withColumn("okey", F.concat(F.lit("￿"), "okey")), 1))
+        dim = side(left.dim, 0).unionByName(side(right.dim, 1))
         return Vector(side(rows.select(*columns), 0).unionByName(side(fresh.select(*columns), 1)), dim)
 
     # ---- functions ----

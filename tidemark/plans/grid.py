@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..lang.tree import QueryError
+
 MAX_POINTS = 11_000
 
 
@@ -59,8 +61,8 @@ class Grid:
 def inner_grid(spark: SparkSession, outer: Grid, shift: int, length: int, step: int) -> Grid:
     """Times of a subquery: from each outer time less ``shift`` and ``length``, every ``step`` up to that time less ``shift``."""
     per = length // step
-    if per > MAX_POINTS:
-        raise ValueError(f"a subquery has more than {MAX_POINTS} points")
+    if per + 1 > MAX_POINTS:
+        raise QueryError(f"a subquery has more than {MAX_POINTS} points")
     low = outer.start - shift - length
     if outer.count == 1:
         return Grid(low, step, per + 1)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
@@ -54,17 +54,16 @@ class Vector:
         return Vector(data.select(*columns, t.alias("t"), v.alias("v")), self.dim)
 
     def ordered(self) -> DataFrame:
-        """``data`` with ord; by default the order of the scan. Series are few enough to be ranked."""
+        """``data`` with ord; by default the order of the scan, which is that of the series' texts."""
         if "ord" in self.data.columns:
             return self.data
-        ranks = self.dim.select("sid", F.row_number().over(Window.orderBy("okey", "sid")).cast("long").alias("ord"))
-        return self.data.join(ranks, "sid")
+        return self.data.join(self.dim.select("sid", F.col("okey").alias("ord")), "sid")
 
     def rekeyed(self, labels: Column, ordered: bool) -> tuple[DataFrame, DataFrame]:
         """Data with gid by the given labels (and ord), and the dimension of those."""
         dim = self.dim.select("sid", "okey", labels.alias("glabels")).withColumn("gid", F.xxhash64(L.text_of(F.col("glabels"))))
         brought = ["sid", "gid"]
         if ordered and "ord" not in self.data.columns:
-            dim = dim.withColumn("ord", F.row_number().over(Window.orderBy("okey", "sid")).cast("long"))
+            dim = dim.withColumn("ord", F.col("okey"))
             brought.append("ord")
         return self.data.join(dim.select(*brought), "sid"), dim.groupBy("gid").agg(F.first("glabels").alias("labels"), F.min("okey").alias("okey"))

@@ -15,6 +15,7 @@ from ..lang.tree import NAME
 MAX_LINE = 4 << 20
 _SPECIAL = {"+inf": "inf", "inf": "inf", "+infinity": "inf", "infinity": "inf", "-inf": "-inf", "-infinity": "-inf", "nan": "nan"}
 _FLOAT = re.compile(r"[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?")
+_HEX_FLOAT = re.compile(r"[+-]?0[xX](?:[0-9a-fA-F]+\.?[0-9a-fA-F]*|\.[0-9a-fA-F]+)[pP][+-]?\d+")
 _NAME = re.compile(r"[A-Za-z_:][A-Za-z0-9_:]*")
 _LABEL = re.compile(r"\s*([A-Za-z_][A-Za-z0-9_]*)\s*=\s*\"((?:[^\"\\]|\\.)*)\"\s*(,|(?=\}))", re.S)
 _ESCAPE = re.compile(r"\\(.)", re.S)
@@ -25,6 +26,8 @@ def parse_float(text: str) -> float:
     special = _SPECIAL.get(text.lower())
     if special:
         return float(special)
+    if _HEX_FLOAT.fullmatch(text):
+        return float.fromhex(text)
     if not _FLOAT.fullmatch(text):
         raise ValueError(f"malformed value {text!r}")
     return float(text)

@@ -14,6 +14,8 @@ from ..lang.tree import NAME
 
 MAX_BODY = 16 << 20
 SCHEMA = "job string, instance string, series array<struct<name:string,labels:map<string,string>,value:variant,samples:array<struct<timestamp_ms:bigint,value:variant>>>>"
+#: The one error of a request that is well-formed.
+TOO_MANY = "too many samples"
 _METRIC, _LABEL = r"\A[A-Za-z_:][A-Za-z0-9_:]*\z", r"\A[A-Za-z_][A-Za-z0-9_]*\z"
 
 
@@ -55,7 +57,7 @@ def parsed(requests: DataFrame, sample_limit: int = 0) -> DataFrame:
         .when(F.size(errors) > 0, F.get(errors, F.lit(0)))
     )
     if sample_limit:
-        error = error.when(total > sample_limit, "too many samples")
+        error = error.when(total > sample_limit, TOO_MANY)
     return out.withColumn("error", error)
 
 

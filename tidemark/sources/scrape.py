@@ -108,13 +108,24 @@ def scrape_once(target: Target, get: Callable[[Target], str] = fetch, now_ms: in
     return rows, Health(target.job, target.instance, up, error, count, took)
 
 
-def scrape(spark: SparkSession, targets: list[Target], get: Callable[[Target], str] = fetch, now_ms: int | None = None) -> DataFrame:
-    """(labels, t, v) of all targets, fetched where the partitions of the target list are."""
+def scrape_all(spark: SparkSession, targets: list[Target], get: Callable[[Target], str] = fetch, now_ms: int | None = None) -> DataFrame:
+    """(target, labels, t, v, error) of all targets, fetched where the partitions of the target list are.
+
+    One row of each target has no labels: it tells the first error, if there was one. Reading the result
+    twice fetches twice; write it first.
+    """
     numbered = spark.range(len(targets), numPartitions=max(1, min(len(targets), 64)))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [r for i in frame["id"] for r in scrape_once(targets[i], get, now_ms)[0]]
-            yield pd.DataFrame(rows, columns=["labels", "t", "v"])
+            for i in frame["id"]:
+                rows, health = scrape_once(targets[i], get, now_ms)
+                said = [(i, labels, t, v, None) for labels, t, v in rows] + [(i, None, rows[-1][1], 0.0, health.error)]
+                yield pd.DataFrame(said, columns=["target", "labels", "t", "v", "error"])
 
-    return numbered.mapInPandas(run, SCHEMA)
+    return numbered.mapInPandas(run, f"target long, {SCHEMA}, error string")
+
+
+def scrape(spark: SparkSession, targets: list[Target], get: Callable[[Target], str] = fetch, now_ms: int | None = None) -> DataFrame:
+    """(labels, t, v) of all targets."""
+    return scrape_all(spark, targets, get, now_ms).filter("labels is not null").select("labels", "t", "v")

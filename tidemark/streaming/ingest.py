@@ -20,6 +20,14 @@ def _existing(spark, path: str) -> Store | None:
     return Store.read(spark, path) if files.exists(where) else None
 
 
+def told_apart(keyed: DataFrame, series: DataFrame | None) -> None:
+    """Raises ValueError if two label texts have one id: the text is the identity of a series, the hash only stands for it."""
+    texts = keyed.select("sid", "key") if series is None else keyed.unionByName(series.select("sid", "key"))
+    clash = texts.groupBy("sid").agg(F.min("key").alias("a"), F.max("key").alias("b")).filter("a <> b").first()
+    if clash is not None:
+        raise ValueError(f"series {clash.a} and {clash.b} have one id")
+
+
 def append(rows: DataFrame, path: str, max_series: int = 1_000_000) -> bool:
     """Appends a batch (labels, t, v, arrival) as a whole, or nothing if its new series exceed the cap."""
     spark = rows.sparkSession
@@ -32,6 +40,7 @@ def append(rows: DataFrame, path: str, max_series: int = 1_000_000) -> bool:
             return True
         first = first.join(known.between(low, high).select("sid", "t"), ["sid", "t"], "left_anti")
     held = known.series.select("sid") if known is not None else spark.createDataFrame([], "sid long")
+    told_apart(keyed.select("sid", "key"), known.series if known is not None else None)
     if first.limit(1).count() and not cap_series(held, first, max_series).limit(1).count():
         return False
     series = first.select("sid", "labels", "key").dropDuplicates(["sid"])
@@ -41,8 +50,11 @@ def append(rows: DataFrame, path: str, max_series: int = 1_000_000) -> bool:
     return True
 
 
-def start(stream: DataFrame, path: str, checkpoint: str, delay: str = "10 minutes", max_series: int = 1_000_000, once: bool = False) -> StreamingQuery:
-    """Feeds a stream (labels, t, v) into the store at ``path``; rejected batches are left out whole."""
+def start(stream: DataFrame, path: str, checkpoint: str, delay: str = "6 hours", max_series: int = 1_000_000, once: bool = False) -> StreamingQuery:
+    """Feeds a stream (labels, t, v) into the store at ``path``; rejected batches are left out whole.
+
+    ``delay`` is how late a sample may be: as long as the store keeps samples, so that none is late before it is too old.
+    """
     timed = stream.withColumn("key", L.text_of(F.col("labels"))).withColumn("ts", F.timestamp_millis("t"))
     fresh = timed.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["key", "t"]).select("labels", "t", "v")
 

@@ -77,6 +77,7 @@ add("sel_equal", ranged('event_value{event_type="click"}'), instants() + out("v"
 add("sel_not_equal", ranged('event_value{event_type!="click",nothing!="x"}'), instants() + out("v", where="event_type <> 'click'"))
 add("sel_regex", ranged('event_value{event_type=~"c.*|v.*"}'), instants() + out("v", where="event_type IN ('click', 'view')"))
 add("sel_not_regex", ranged('event_value{event_type!~"c.*|v.*"}'), instants() + out("v", where="event_type NOT IN ('click', 'view')"))
+add("sel_regex_class", ranged('event_value{event_type=~"[[:alpha:]]+",user_id=~"[[:digit:]]{1,2}"}'), instants() + out("v", where="regexp_full_match(event_type, '[a-zA-Z]+') AND regexp_full_match(user_id, '[0-9]{1,2}')"))
 add("sel_offset", ranged("event_value offset 1d"), instants(offset=DAY) + out("v"))
 add("sel_offset_negative", ranged("event_value offset -1d"), instants(offset=-DAY) + out("v"))
 _AT = START + 10 * DAY
@@ -298,8 +299,8 @@ def _alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A rule evaluated twice: what the second evaluation makes of each instance."""
     engine = Engine(datasets.event_value(spark, sf_dir), LOOKBACK)
     rule = evaluate.Rule("loud", "loud users", "sum by (user_id) (event_value) > 50", "warning")
-    known = evaluate.transitions(spark.createDataFrame([], evaluate.INSTANCES), evaluate.observed(engine, rule, _RULE_AT), rule, _RULE_AT, cap=1 << 30)
-    after = evaluate.transitions(known, evaluate.observed(engine, rule, _RULE_AT + 3 * HOUR), rule, _RULE_AT + 3 * HOUR, cap=1 << 30)
+    known = evaluate.transitions(spark.createDataFrame([], evaluate.INSTANCES), evaluate.observed(engine, rule, _RULE_AT), rule, _RULE_AT, cap=None)
+    after = evaluate.transitions(known, evaluate.observed(engine, rule, _RULE_AT + 3 * HOUR), rule, _RULE_AT + 3 * HOUR, cap=None)
     return after.select(F.col("labels")["user_id"].alias("user_id"), "before", "state", F.round("value", 6).alias("value"))
 
 
