@@ -150,7 +150,9 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows that hold a window."""
-    found = Scratch(docs.sparkSession, "decontam").write(hits(docs, benchmark).select("__id", "__h", "__c").distinct(), "rows")
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.xxhash64("text").eqNullSafe(F.col("__h")) & F.crc32("text").eqNullSafe(F.col("__c"))
-    few = found.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(found) if few else found, same, "left_anti")
+    scratch = Scratch(docs.sparkSession, "decontam")
+    found = _found(docs, scratch.write(_hashed(docs), "hashed"), benchmark, scratch)
+    gone = scratch.write(found.select(*[F.col(c).alias(f"{c}2") for c in ("__id", "__h", "__c")]).distinct(), "gone")
+    scratch.keep("gone")
+    here = docs.select("*", *row_key())
+    return here.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, _same_row(), "left_anti").select(*docs.columns)

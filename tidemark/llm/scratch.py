@@ -1,31 +1,19 @@
 """Written intermediate tables in the folder that driver and executors share.
 
 Cutting lineage with a written table keeps a job safe from lost executors: whatever reads it
-rereads files, never blocks that lived on one machine. The folder is the one the session names in
-``spark.checkpoint.dir``; only where that is unset (tests on one machine) a temporary folder is used.
+rereads files, never blocks that lived on one machine. The folder is the checkpoint directory of the
+session; a local one is used only where that is unset and the master is local (``shared_folder``).
 """
 
 from __future__ import annotations
 
 import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL: list[str] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, or a local temporary one where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not _LOCAL:
-        _LOCAL.append("file://" + tempfile.mkdtemp(prefix="tidemark-"))
-    return _LOCAL[0]
+from ..shared import shared_folder
 
 
 def _remove(jvm, jconf, path: str) -> None:
@@ -49,18 +37,27 @@ def arrow_bytes(spark: SparkSession, most: int = 4 << 20) -> Iterator[None]:
 
 
 class Scratch:
-    """Tables written by one call of an operator. ``drop`` removes one early; the rest go at exit."""
+    """Tables written by one call of an operator. ``drop`` and ``keep`` remove some early; the rest go at exit."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_folder(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+        self.spark, self.names = spark, set()
+        self.root = shared_folder(spark, name)
         sc = spark.sparkContext
         atexit.register(_remove, sc._jvm, sc._jsc.hadoopConfiguration(), self.root)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{self.root}/{name}")
+        self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
-    def drop(self, name: str) -> None:
+    def drop(self, *names: str) -> None:
         sc = self.spark.sparkContext
-        _remove(sc._jvm, sc._jsc.hadoopConfiguration(), f"{self.root}/{name}")
+        for name in names:
+            _remove(sc._jvm, sc._jsc.hadoopConfiguration(), f"{self.root}/{name}")
+            self.names.discard(name)
+
+    def keep(self, *names: str) -> None:
+        """Removes all other tables: nothing that is still to run reads them."""
+        self.drop(*(self.names - set(names)))
+        # Spark deletes the shuffle files of plans that the driver has let go of, but only sees that when it collects garbage
+        self.spark.sparkContext._jvm.System.gc()

@@ -258,10 +258,10 @@ def _side(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _texts(docs: DataFrame, sketched: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
+def _texts(docs: DataFrame, members: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
     """(class, n, bits, text) of the wanted classes (column a)."""
     # a class is addressed by id and text of one of its rows, with a null id only if it has no other
-    rows_of = sketched.select("doc_id", "h", "n", "class", "bits").join(_side(wanted.withColumnRenamed("a", "class")), "class", "left_semi")
+    rows_of = members.join(_side(wanted.withColumnRenamed("a", "class")), "class", "left_semi")
     address = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")
     chosen = rows_of.groupBy("class").agg(F.min(address).alias("c"), F.max("n").alias("n"), F.first("bits", ignorenulls=True).alias("bits"))
     chosen = scratch.write(chosen.select("class", "n", "bits", F.col("c.doc_id").alias("__id"), F.col("c.h").alias("__h")), "chosen")
@@ -389,15 +389,14 @@ def _whole_sets(texts: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, n long, parts array<long>")
 
 
-def _roots(docs: DataFrame, sketched: DataFrame, shingle: int, percent: int, scratch: Scratch) -> DataFrame:
+def _roots(docs: DataFrame, members: DataFrame, held: DataFrame, shingle: int, percent: int, scratch: Scratch) -> DataFrame:
     """(node, root) of the classes that link with another."""
-    held = scratch.write(_held(sketched), "held0")
     several = held.groupBy("key").agg(F.min("a").alias("lead"), F.max("a").alias("last")).filter("lead <> last").select("key", "lead")
     held = scratch.write(held.join(several, "key"), "held")
     scratch.drop("held0")
     if not held.limit(1).count():
         return docs.sparkSession.createDataFrame([], "node long, root long")
-    texts = _texts(docs, sketched, scratch.write(held.select("a").distinct(), "wanted"), scratch)
+    texts = _texts(docs, members, scratch.write(held.select("a").distinct(), "wanted"), scratch)
     # at first each class meets the leader (the least class of a key) with which it shares most keys
     shared = held.filter("a <> lead").groupBy("a", "lead").agg(F.count(F.lit(1)).alias("c"))
     tried = scratch.write(shared.groupBy("a").agg(F.max_by("lead", F.struct("c", "lead")).alias("b")), "pairs0")
@@ -447,11 +446,16 @@ def _members(docs: DataFrame, shingle: int, percent: int, scratch: Scratch) -> D
     common = spark.sparkContext.broadcast(_common(docs, shingle))  # at most MOST_COMMON pairs of numbers
     with arrow_bytes(spark):
         sketched = scratch.write(_sketched(docs, shingle, Bands(percent), common), "sketched")
-        roots = _roots(docs, sketched, shingle, percent, scratch)
+        held = scratch.write(_held(sketched), "held0")
+        members = scratch.write(sketched.select("doc_id", "h", "n", "class", "bits"), "members")
+        scratch.keep("held0", "members")  # the keys are as large as the texts
+        roots = _roots(docs, members, held, shingle, percent, scratch)
     # few classes link with another, so the rows need not be dealt by class
     linked = _side(roots.select(F.col("node").alias("class"), "root"))
-    some = sketched.select("doc_id", "h", "n", "class").join(linked, "class", "left")
-    return scratch.write(some.select("doc_id", "h", "n", F.coalesce("root", "class").alias("root")), "rows")
+    some = members.select("doc_id", "h", "n", "class").join(linked, "class", "left")
+    rows = scratch.write(some.select("doc_id", "h", "n", F.coalesce("root", "class").alias("root")), "rows")
+    scratch.keep("rows")
+    return rows
 
 
 def join(docs: DataFrame, shingle: int = 3, percent: int = 90) -> DataFrame:
