@@ -5,8 +5,8 @@ else). Filters of widths 2, 3 and 4 slide over windows of ``WINDOW`` bytes; each
 maximum over the window passes a rectifier and a softmax layer. A text is cut into windows that
 cover it whole; its scores are the means over its windows, weighted by their letters.
 
-Training: windows of a bounded sample of labelled texts (``SAMPLE_DOCS`` documents, at most
-``WINDOWS_PER_DOC`` windows each, spread over the text), Adam, a fixed seed.
+Training: all windows of a bounded sample of labelled texts (about ``SAMPLE_DOCS`` of them, or fewer so that about
+``SAMPLE_BYTES`` are not exceeded), Adam, a fixed seed.
 
 Edge cases: a null text and one without a letter are ``und`` with score 0; texts shorter than a
 window are padded with the class for all else; with no labelled text at all every prediction is
@@ -27,9 +27,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .sampling import bounded_sample
+from .textkernel import chunks
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 8
-SAMPLE_DOCS, WINDOWS_PER_DOC, EPOCHS, BATCH = 4000, 6, 6, 128
+SAMPLE_DOCS, SAMPLE_BYTES, EPOCHS, BATCH = 4000, 6 << 20, 6, 128
 #: At most so many windows are scored at a time.
 BLOCK = 1024
 
@@ -146,17 +147,16 @@ def train(windows: np.ndarray, targets: np.ndarray, labels: Sequence[str], seed:
 def fit(docs: DataFrame, labelled: DataFrame | None = None, seed: int = 5) -> Network | None:
     """A network from rows (doc_id, text, lang) with a language; None if there is none."""
     labelled = (docs if labelled is None else labelled).filter(F.col("lang").isNotNull())
-    sample = bounded_sample(labelled.select("doc_id", "text", "lang"), "doc_id", SAMPLE_DOCS, seed)
+    sample = bounded_sample(labelled.select("doc_id", "text", "lang"), "doc_id", SAMPLE_DOCS, seed, SAMPLE_BYTES)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = []
-            for i, text, lang in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                if has_letter(text):
-                    w = windows_of(text.encode())
-                    pick = np.unique(np.linspace(0, len(w) - 1, min(len(w), WINDOWS_PER_DOC)).astype(int))
-                    got.append((i, lang, w[pick].astype(np.uint8).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], t) for k, t in enumerate((batch.column(0).type, pa.string(), pa.binary()))], ["doc_id", "lang", "windows"])
+            for part in chunks(batch):
+                got = []
+                for i, text, lang in zip(*(part.column(c).to_pylist() for c in range(3)), strict=True):
+                    if has_letter(text):
+                        got.append((i, lang, windows_of(text.encode()).astype(np.uint8).tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], t) for k, t in enumerate((part.column(0).type, pa.string(), pa.binary()))], ["doc_id", "lang", "windows"])
 
     schema = T.StructType([sample.schema["doc_id"], T.StructField("lang", T.StringType()), T.StructField("windows", T.BinaryType())])
     rows = sorted(sample.mapInArrow(cut, schema).collect(), key=lambda r: (r[0] is None, r[0] or 0, r[1], r[2]))
@@ -220,8 +220,9 @@ def identify(docs: DataFrame, net: Network | None, carry: Sequence[str] = (), na
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pickle.loads(model.value)
         for batch in batches:
-            langs, scores = predict_batch(own, batch.column(batch.num_columns - 1).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*carry, *names])
+            for part in chunks(batch, "__text"):
+                langs, scores = predict_batch(own, part.column(part.num_columns - 1).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*carry, *names])
 
     schema = T.StructType([*(docs.schema[c] for c in carry), T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
     return docs.select(*carry, F.col("text").alias("__text")).mapInArrow(run, schema)
