@@ -1,23 +1,28 @@
 """Licence scans with a generalised suffix automaton over licence words.
 
 The automaton accepts every run of words that occurs in a template or in one of the exact phrases.
-Texts are streamed through it: at each word it gives the longest match that ends there (matching
-statistics). Matches of ``MIN_MATCH`` words or more that cannot grow are chained per template when
-they keep its order and the gaps on both sides are short; a template is found where a chain covers
-``COVERAGE`` of its words. An exact phrase stands at a word if the match there is long enough and
-its state lies below the phrase's state in the tree of suffix links.
+Texts are streamed through it: at each word it gives, for every template, the longest match that ends there
+(matching statistics; runs at places that do not hold the longest one follow from the suffix links). A match
+of ``MIN_MATCH`` words or more that does not go on is a link of a chain; a run that stands in a template more than once
+is a link at each of its places. A dynamic programme finds for every link the chain up to it that covers most words of
+the template, over all earlier links that end no more than ``MAX_GAP`` words before it, in the text and in the
+template. A template's span is a chain that covers ``COVERAGE`` of its words; spans of one template do not overlap.
+An exact phrase stands at a word if the match there is long enough and its state lies below the phrase's
+state in the tree of suffix links.
 
 Only runs of three or more known words are streamed, as no phrase or match is shorter; the rest is
 passed over by array operations.
 
 Edge cases: a null text is empty and has no words; no labels give empty strings; score is 1 with an
-exact phrase, else the best coverage; repeated rows get equal results; an empty table gives an
-empty result; other columns are not read.
+exact phrase, else the best coverage; of two chains that cover as much the one that ends first counts; repeated rows
+get equal results; an empty table gives an empty result; other columns are carried on request, and new columns
+replace any of the same name.
 """
 
 from __future__ import annotations
 
 import pickle
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -26,29 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .licence_texts import PHRASES, TEMPLATES
 from .textkernel import ALNUM_WORDS, Words, chunks
 
-#: Exact phrases by label.
-PHRASES = (
-    ("under the mit license", "mit"),
-    ("apache license version 2", "apache-2"),
-    ("cc by nc", "cc-by-nc"),
-)
-#: Well-known sentences by label.
-TEMPLATES = (
-    ("permission is hereby granted free of charge to any person obtaining a copy of this software", "mit"),
-    ("released under the mit license", "mit"),
-    ("licensed under the apache license version 2 0 you may not use this file except in compliance with the license", "apache-2"),
-    ("licensed under the apache license version 2 0", "apache-2"),
-    ("this work is licensed under the gnu general public license version 3", "gpl-3"),
-    ("redistribute it and or modify it under the terms of the gnu general public license", "gpl-3"),
-    ("under the terms of the gnu lesser general public license", "lgpl-3"),
-    ("redistribution and use in source and binary forms with or without modification are permitted", "bsd-3"),
-    ("licensed under cc by nc 4 0", "cc-by-nc"),
-    ("licensed under cc by sa 4 0", "cc-by-sa"),
-    ("licensed under a creative commons attribution 4 0 international license", "cc-by"),
-    ("subject to the terms of the mozilla public license v 2 0", "mpl-2"),
-)
 SHORTEST, MIN_MATCH, MAX_GAP, COVERAGE = 3, 4, 6, 0.7
 
 
@@ -58,15 +43,16 @@ class Automaton:
     def __init__(self, sequences: Sequence[Sequence[int]]):
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        self.ends: list[dict[int, int]] = [{}]  # by state: sequence -> where in it the state's words end
+        self.ends: list[dict[int, list[int]]] = [{}]  # by state: sequence -> where in it the state's words end
         for k, seq in enumerate(sequences):
             last = 0
             for at, word in enumerate(seq):
                 last = self._extend(last, word)
-                self.ends[last][k] = at + 1
+                self.ends[last].setdefault(k, []).append(at + 1)
         for v in sorted(range(1, len(self.next)), key=lambda v: -self.length[v]):
-            for k, end in self.ends[v].items():
-                self.ends[self.link[v]].setdefault(k, end)
+            for k, ends in self.ends[v].items():
+                if self.link[v]:
+                    self.ends[self.link[v]].setdefault(k, []).extend(ends)
 
     def _state(self, length: int, link: int, out: dict[int, int]) -> int:
         self.next.append(out)
@@ -129,8 +115,15 @@ class Scanner:
         self.auto = Automaton(seqs)
         at = {self.auto.walk(s): k for k, s in enumerate(seqs[: self.n_phrases])}
         self.phrases_at: list[tuple[int, ...]] = [()] * len(self.auto.next)
+        #: By state: (template, end in it) of its words, and (template, end, words) where only a shorter ending stands.
+        self.holds: list[set[tuple[int, int]]] = [set()] * len(self.auto.next)
+        self.shorter: list[list[tuple[int, int, int]]] = [[]] * len(self.auto.next)
         for v in sorted(range(1, len(self.auto.next)), key=lambda v: self.auto.length[v]):
-            self.phrases_at[v] = self.phrases_at[self.auto.link[v]] + ((at[v],) if v in at else ())
+            u = self.auto.link[v]
+            self.phrases_at[v] = self.phrases_at[u] + ((at[v],) if v in at else ())
+            self.holds[v] = own = {(k, e) for k, ends in self.auto.ends[v].items() if k >= self.n_phrases for e in ends}
+            above = [(*x, self.auto.length[u]) for x in self.holds[u] - own] if self.auto.length[u] >= MIN_MATCH else []
+            self.shorter[v] = above + self.shorter[u]
 
     def known_runs(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all words (-1: not known) and the runs of known ones within a text, [start, end)."""
@@ -147,40 +140,56 @@ class Scanner:
         return ids, start[long], end[long]
 
     def scan(self, ids: Sequence[int], offset: int) -> tuple[list[tuple[int, int]], list[tuple[int, int, int, int]]]:
-        """Of a run: phrase places (start, phrase), and maximal matches (template, start, end, end in it)."""
-        places, matches, before = [], [], (0, 0)
+        """Of a run: phrase places (start, phrase), and matches that do not go on (template, start, end, end in it)."""
+        places, matches = [], []
+        before: dict[tuple[int, int], int] = {}
         for i, (v, length) in enumerate(self.auto.stream(ids)):
             for k in self.phrases_at[v]:
                 if length >= self.sizes[k]:
                     places.append((offset + i + 1 - self.sizes[k], k))
-            if length <= before[1] >= MIN_MATCH:
-                matches += self._matches(*before, offset + i)
-            before = (v, length)
-        if before[1] >= MIN_MATCH:
-            matches += self._matches(*before, offset + len(ids))
+            now = self._runs(v, length)
+            matches += [(k, offset + i - n, offset + i, there) for (k, there), n in before.items() if (k, there + 1) not in now]
+            before = now
+        matches += [(k, offset + len(ids) - n, offset + len(ids), there) for (k, there), n in before.items()]
         return places, matches
 
-    def _matches(self, v: int, length: int, end: int) -> list[tuple[int, int, int, int]]:
-        return [(k, end - length, end, there) for k, there in self.auto.ends[v].items() if k >= self.n_phrases]
-
-    def chain(self, matches: Sequence[tuple[int, int, int, int]]) -> dict[int, float]:
-        """Per template the best share of its words that a chain of matches covers."""
-        best: dict[int, float] = {}
-        open_: dict[int, tuple[int, int, int]] = {}  # template -> end here, end there, words covered
-        for k, start, end, there in sorted(matches, key=lambda m: (m[0], m[1], m[2])):
-            size = end - start
-            if k in open_:
-                here0, there0, covered = open_[k]
-                fresh = min(size, end - here0, there - there0)
-                if fresh > 0 and start - here0 <= MAX_GAP and there - size - there0 <= MAX_GAP:
-                    size = covered + fresh
-            open_[k] = (end, there, size)
-            best[k] = max(best.get(k, 0.0), size / self.sizes[k])
-        return best
+    def _runs(self, v: int, length: int) -> dict[tuple[int, int], int]:
+        """Words of the runs that end here, by template and end in it, of ``MIN_MATCH`` words or more."""
+        if length < MIN_MATCH:
+            return {}
+        return {(k, there): n for k, there, n in self.shorter[v]} | dict.fromkeys(self.holds[v], length)
+
+    def chains(self, matches: Sequence[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+        """Spans (template, start, end, words covered) of the best chains, apart from each other in each template."""
+        out = []
+        by_template: dict[int, list] = {}
+        for k, start, end, there in matches:
+            by_template.setdefault(k, []).append((start, end, there))
+        for k, links in by_template.items():
+            links.sort(key=lambda m: (m[1], m[0], m[2]))
+            best: list[tuple[int, int]] = []  # words covered, first word
+            at = [m[1] for m in links]
+            for i, (start, end, there) in enumerate(links):
+                found = (end - start, start)
+                for j in range(bisect_left(at, start - MAX_GAP), i):  # in order of their ends
+                    end0, there0 = links[j][1], links[j][2]
+                    fresh = min(end - start, end - end0, there - there0)
+                    if fresh > 0 and start - end0 <= MAX_GAP and there - (end - start) - there0 <= MAX_GAP and best[j][0] + fresh > found[0]:
+                        found = (best[j][0] + fresh, best[j][1])
+                best.append(found)
+            starts, ends = [], []  # of the spans taken, in order
+            for i in sorted(range(len(links)), key=lambda i: (-best[i][0], links[i][1], best[i][1])):
+                covered, start, end = *best[i], links[i][1]
+                place = bisect_left(starts, end)
+                if place == 0 or ends[place - 1] <= start:
+                    starts.insert(place, start)
+                    ends.insert(place, end)
+                    out.append((k, start, end, covered))
+        return out
 
 
 def scan_batch(scanner: Scanner, column: pa.Array) -> list[tuple]:
-    """Per text: n_words, n_base, first_word, last_word, base_labels, labels, score."""
+    """Per text: number of words, phrase places (start, phrase), and chains (template, start, end, words covered)."""
     words = Words(column, ALNUM_WORDS)
     ids, start, end = scanner.known_runs(words)
     texts = np.searchsorted(words.last, start, side="right")
@@ -192,32 +201,60 @@ def scan_batch(scanner: Scanner, column: pa.Array) -> list[tuple]:
             places.setdefault(text, []).extend(p)
         if m:
             matches.setdefault(text, []).extend(m)
-    out = []
-    for text, n in enumerate(words.counts().tolist()):
-        p = places.get(text, ())
-        cover = scanner.chain(matches[text]) if text in matches else {}
-        base = {scanner.labels[k] for _, k in p}
-        more = base | {scanner.labels[k] for k, c in cover.items() if c >= COVERAGE}
-        score = 1.0 if p else max(cover.values(), default=0.0)
-        out.append((n, len(p), min((s for s, _ in p), default=None), max((s for s, _ in p), default=None), ",".join(sorted(base)), ",".join(sorted(more)), float(min(1.0, score))))
-    return out
+    return [(n, places.get(text, []), scanner.chains(matches[text]) if text in matches else []) for text, n in enumerate(words.counts().tolist())]
+
+
+def digest(scanner: Scanner, n: int, places: list, chains: list) -> tuple:
+    """n_words, n_base, first_word, last_word, base_labels, labels, score."""
+    cover = [(covered / scanner.sizes[k], scanner.labels[k]) for k, _, _, covered in chains]
+    base = {scanner.labels[k] for _, k in places}
+    more = base | {label for c, label in cover if c >= COVERAGE}
+    score = 1.0 if places else max((c for c, _ in cover), default=0.0)
+    starts = [s for s, _ in places]
+    return n, len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(more)), float(min(1.0, score))
+
+
+def spans_of(scanner: Scanner, places: list, chains: list) -> list[tuple]:
+    """(label, words of the template, start, end, coverage) of exact phrases and of the templates' spans, by place."""
+    found = [(scanner.labels[k], scanner.sizes[k], s, s + scanner.sizes[k], 1.0) for s, k in places]
+    found += [(scanner.labels[k], scanner.sizes[k], s, e, covered / scanner.sizes[k]) for k, s, e, covered in chains if covered >= COVERAGE * scanner.sizes[k]]
+    return sorted(found, key=lambda x: (x[2], x[3], x[0], x[1]))
 
 
 COLUMNS = (("n_words", pa.int64(), T.LongType()), ("n_base", pa.int64(), T.LongType()), ("first_word", pa.int64(), T.LongType()), ("last_word", pa.int64(), T.LongType()), ("base_labels", pa.string(), T.StringType()), ("labels", pa.string(), T.StringType()), ("score", pa.float64(), T.DoubleType()))
 
 
 def scan(docs: DataFrame, carry: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """Per row of ``docs`` (text): the columns ``carry``, then the columns of the contract."""
-    made = pickle.dumps(Scanner())  # a few KB
-
+    """Per row of ``docs`` (text): the columns ``carry``, then n_words, n_base, first_word, last_word, base_labels, labels, score."""
+    made = pickle.dumps(Scanner())  # some hundred KB
     carry = [c for c in carry if c not in [x for x, _, _ in COLUMNS]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = pickle.loads(made)
         for batch in batches:
             for part in chunks(batch, "__text"):
-                rows = list(zip(*scan_batch(scanner, part.column(part.num_columns - 1)), strict=True))
+                rows = list(zip(*[digest(scanner, *x) for x in scan_batch(scanner, part.column(part.num_columns - 1))], strict=True))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *(pa.array(v, t) for v, (_, t, _) in zip(rows, COLUMNS, strict=True))], [*carry, *(n for n, _, _ in COLUMNS)])
 
     schema = T.StructType([*(docs.schema[c] for c in carry), *(T.StructField(n, t) for n, _, t in COLUMNS)])
     return docs.select(*carry, F.col("text").alias("__text")).mapInArrow(run, schema)
+
+
+SPANS = (("label", pa.string(), T.StringType()), ("template_words", pa.int64(), T.LongType()), ("start_word", pa.int64(), T.LongType()), ("end_word", pa.int64(), T.LongType()), ("coverage", pa.float64(), T.DoubleType()))
+
+
+def spans(docs: DataFrame, carry: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """A row for each licence span in ``docs`` (text): the columns ``carry``, then label, template_words, start_word, end_word (exclusive), coverage."""
+    made = pickle.dumps(Scanner())
+    carry = [c for c in carry if c not in [x for x, _, _ in SPANS]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = pickle.loads(made)
+        for batch in batches:
+            for part in chunks(batch, "__text"):
+                found = [(i, *x) for i, (_, places, chained) in enumerate(scan_batch(scanner, part.column(part.num_columns - 1))) for x in spans_of(scanner, places, chained)]
+                rows = pa.array([f[0] for f in found], pa.int64())
+                yield pa.RecordBatch.from_arrays([*(c.take(rows) for c in part.columns[:-1]), *(pa.array([f[i] for f in found], t) for i, (_, t, _) in enumerate(SPANS, 1))], [*carry, *(n for n, _, _ in SPANS)])
+
+    schema = T.StructType([*(docs.schema[c] for c in carry), *(T.StructField(n, t) for n, _, t in SPANS)])
+    return docs.select(*carry, F.col("text").alias("__text")).mapInArrow(run, schema)
