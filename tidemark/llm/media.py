@@ -97,12 +97,12 @@ _TENSOR = (("payload", pa.binary(), T.BinaryType()), ("height", pa.int64(), T.Lo
 
 
 def read(media: DataFrame, tensors: bool = False) -> DataFrame:
-    """Per row of ``media``: its other columns and what the stored bytes say.
+    """Per row of ``media``: its other columns and what the stored bytes say, which replaces any of the same name.
 
     With ``tensors``: payload, height, width and rgb (row by row, three bytes a pixel); else digests.
     """
-    others = [c for c in media.columns if c != "media"]
     columns = _TENSOR if tensors else _READ
+    others = [c for c in media.columns if c not in ("media", *(n for n, _, _ in columns))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
