@@ -185,6 +185,20 @@ def test_growth_moves_rows_into_the_new_shard_at_every_number(spark):
         assert set(moved) == {n - 1} and abs(len(moved) - 3000 / n) < 5 * math.sqrt(3000 / n)
 
 
+def test_a_row_descends_level_by_level_in_one_pass(spark):
+    tree = [[[(0, 1.0), (1, 3.0)], [(2, 0.5)]], [[(3, 1.0), (4, 2.0)], [(5, 1.0)]], [[(6, 1.0)]]]
+    drawn = sharding.draws(F.col("id").cast("string"), tree)
+    rows = spark.range(500).select(drawn.alias("d"), sharding.descend(drawn).alias("to")).collect()
+    rows += spark.range(1).selectExpr("transform(array(6, 4, 3, 1), i -> named_struct('draw', 0.5D, 'region', i div 3, 'rack', i div 2, 'shard', i)) AS d").select("d", sharding.descend(F.col("d")).alias("to")).collect()  # ties
+    for r in rows:
+        below = r.d
+        for level in ("region", "rack", "shard"):
+            least = {getattr(x, level): min(y.draw for y in below if getattr(y, level) == getattr(x, level)) for x in below}
+            below = [x for x in below if getattr(x, level) == min(least, key=lambda k: (least[k], k))]  # noqa: B023
+        assert tuple(r.to) == tuple(below[0])
+    assert str(sharding.descend(F.col("one_name"))).count("one_name") == 1  # each use of the draws computes all of them
+
+
 def test_rows_repeated_very_often_are_numbered_in_parts(spark, monkeypatch):
     monkeypatch.setattr(sharding, "BUCKET_ROWS", 20)
     rows = [(5, "same")] * 900 + [(i, str(i)) for i in range(300)]

@@ -55,13 +55,11 @@ def draws(key: Column, tree: Tree) -> Column:
 
 
 def descend(drawn: Column) -> Column:
-    """(draw, region, rack, shard) that a row reaches: the child with the least draw at each level, ties to the first."""
-    least = lambda below: F.array_min(below)["draw"]
-    region = F.array_min(drawn)["region"]
-    in_region = F.filter(drawn, lambda x: x["region"] == region)
-    rack = F.array_min(in_region)["rack"]
-    in_rack = F.filter(in_region, lambda x: x["rack"] == rack)
-    return F.array_min(F.filter(in_rack, lambda x: x["draw"] == least(in_rack)))
+    """(draw, region, rack, shard) that a row reaches: the child with the least draw at each level, ties to the first.
+
+    A region or rack draws the least of what is below it, so every level holds the least draw of all: one pass finds it.
+    """
+    return F.array_min(drawn)
 
 
 def shard_of(key: Column, tree: Tree) -> Column:
