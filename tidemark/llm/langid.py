@@ -5,8 +5,11 @@ else). Filters of widths 2, 3 and 4 slide over windows of ``WINDOW`` bytes; each
 maximum over the window passes a rectifier and a softmax layer. A text is cut into windows that
 cover it whole; its scores are the means over its windows, weighted by their letters.
 
-Training: all windows of a bounded sample of labelled texts (about ``SAMPLE_DOCS`` of them, or fewer so that about
-``SAMPLE_BYTES`` are not exceeded), Adam, a fixed seed.
+Training: ``fit`` takes all windows of a bounded sample of labelled texts (about ``SAMPLE_DOCS`` of them, or fewer so that
+about ``SAMPLE_BYTES`` are not exceeded), Adam, a fixed seed. ``fit_whole`` takes all windows of all labelled texts: they are
+dealt evenly to parts of about ``PART_BYTES``, each part trains the network it is given over its windows, and the mean of
+the parts' networks, weighted by their windows, is what the next pass begins with. The driver holds a network for each part
+(about 20 kB), and one softmax column for each language, which are taken to be few.
 
 Edge cases: a null text and one without a letter are ``und`` with score 0; texts shorter than a
 window are padded with the class for all else; with no labelled text at all every prediction is
@@ -27,10 +30,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .sampling import bounded_sample
+from .scratch import Scratch
 from .textkernel import chunks
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 8
 SAMPLE_DOCS, SAMPLE_BYTES, EPOCHS, BATCH = 4000, 6 << 20, 6, 128
+#: Bytes of text a part trains on, passes over all parts at least, windows a row of the dealt table has at most, windows shuffled at a time.
+PART_BYTES, PASSES, ROW_WINDOWS, HELD = 32 << 20, 2, 16, 8192
 #: At most so many windows are scored at a time.
 BLOCK = 1024
 
@@ -52,6 +58,9 @@ class Network:
     dense: np.ndarray
     dense_bias: np.ndarray
 
+    def params(self) -> list[np.ndarray]:
+        return [*self.filters, *self.bias, self.dense, self.dense_bias]
+
     def pooled(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Maxima of all filters over windows of classes (n, length), and where they stand."""
         values, places = [], []
@@ -99,48 +108,72 @@ def windows_of(text: bytes) -> np.ndarray:
     return out.reshape(n, WINDOW)
 
 
-def train(windows: np.ndarray, targets: np.ndarray, labels: Sequence[str], seed: int = 5) -> Network:
-    """Fits a network by Adam on the cross entropy; only the places of the maxima get gradients."""
-    rng = np.random.default_rng(seed)
-    total = FILTERS * len(WIDTHS)
-    net = Network(
+def fresh(labels: Sequence[str], rng: np.random.Generator) -> Network:
+    """A network before training."""
+    return Network(
         list(labels),
         [rng.normal(0, 0.3, (w, _CLASSES, FILTERS)).astype(np.float32) for w in WIDTHS],
         [np.zeros(FILTERS, dtype=np.float32) for _ in WIDTHS],
-        rng.normal(0, 0.2, (total, len(labels))).astype(np.float32),
+        rng.normal(0, 0.2, (FILTERS * len(WIDTHS), len(labels))).astype(np.float32),
         np.zeros(len(labels), dtype=np.float32),
     )
-    params = [*net.filters, *net.bias, net.dense, net.dense_bias]
-    first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    step = 0
-    for _ in range(EPOCHS):
+
+
+class Adam:
+    """Trains a network in place on the cross entropy; only the places of the maxima get gradients."""
+
+    def __init__(self, net: Network):
+        self.net, self.params, self.steps = net, net.params(), 0
+        self.first, self.second = [np.zeros_like(p) for p in self.params], [np.zeros_like(p) for p in self.params]
+
+    def epoch(self, windows: np.ndarray, targets: np.ndarray, rng: np.random.Generator) -> None:
         order = rng.permutation(len(windows))
         for at in range(0, len(order), BATCH):
             rows = order[at : at + BATCH]
-            x, y = windows[rows], targets[rows]
-            pre, where = net.pooled(x)
-            hidden = np.maximum(pre, 0)
-            z = hidden @ net.dense + net.dense_bias
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(y)), y] -= 1
-            p /= len(y)
-            back = (p @ net.dense.T) * (pre > 0)
-            grads = []
-            for i, width in enumerate(WIDTHS):
-                part, place = back[:, i * FILTERS : (i + 1) * FILTERS], where[:, i * FILTERS : (i + 1) * FILTERS]
-                g = np.zeros_like(net.filters[i])
-                column = np.broadcast_to(np.arange(FILTERS), place.shape)
-                for j in range(width):
-                    np.add.at(g[j], (np.take_along_axis(x, place + j, axis=1), column), part)
-                grads.append(g)
-            grads += [back[:, i * FILTERS : (i + 1) * FILTERS].sum(axis=0) for i in range(len(WIDTHS))]
-            grads += [hidden.T @ p, p.sum(axis=0)]
-            step += 1
-            for q, g, m, v in zip(params, grads, first, second, strict=True):
-                m += 0.1 * (g - m)
-                v += 0.001 * (g * g - v)
-                q -= (0.01 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+            self.step(windows[rows], targets[rows])
+
+    def step(self, x: np.ndarray, y: np.ndarray) -> None:
+        net = self.net
+        pre, where = net.pooled(x)
+        hidden = np.maximum(pre, 0)
+        z = hidden @ net.dense + net.dense_bias
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        p[np.arange(len(y)), y] -= 1
+        p /= len(y)
+        back = (p @ net.dense.T) * (pre > 0)
+        grads = []
+        for i, width in enumerate(WIDTHS):
+            part, place = back[:, i * FILTERS : (i + 1) * FILTERS], where[:, i * FILTERS : (i + 1) * FILTERS]
+            g = np.zeros_like(net.filters[i])
+            column = np.broadcast_to(np.arange(FILTERS), place.shape)
+            for j in range(width):
+                np.add.at(g[j], (np.take_along_axis(x, place + j, axis=1), column), part)
+            grads.append(g)
+        grads += [back[:, i * FILTERS : (i + 1) * FILTERS].sum(axis=0) for i in range(len(WIDTHS))]
+        grads += [hidden.T @ p, p.sum(axis=0)]
+        self.steps += 1
+        for q, g, m, v in zip(self.params, grads, self.first, self.second, strict=True):
+            m += 0.1 * (g - m)
+            v += 0.001 * (g * g - v)
+            q -= (0.01 * (m / (1 - 0.9**self.steps)) / (np.sqrt(v / (1 - 0.999**self.steps)) + 1e-8)).astype(np.float32)
+
+
+def train(windows: np.ndarray, targets: np.ndarray, labels: Sequence[str], seed: int = 5) -> Network:
+    """Fits a network by Adam over all windows, ``EPOCHS`` times."""
+    rng = np.random.default_rng(seed)
+    net = fresh(labels, rng)
+    adam = Adam(net)
+    for _ in range(EPOCHS):
+        adam.epoch(windows, targets, rng)
+    return net
+
+
+def mean_of(nets: Sequence[tuple[int, Network]]) -> Network:
+    """The mean of networks of the same labels, by weight."""
+    total, net = sum(n for n, _ in nets), nets[0][1]
+    for k, own in enumerate(net.params()):
+        own[...] = sum(n * other.params()[k].astype(np.float64) for n, other in nets) / total
     return net
 
 
@@ -168,6 +201,64 @@ def fit(docs: DataFrame, labelled: DataFrame | None = None, seed: int = 5) -> Ne
     return train(windows, targets, labels)
 
 
+def fit_whole(docs: DataFrame, seed: int = 5) -> Network | None:
+    """A network from all windows of all rows (text, lang) with a language; None if there is none."""
+    spark = docs.sparkSession
+    scratch, labelled = Scratch(spark, "langid"), docs.filter(F.col("lang").isNotNull()).select("lang", "text")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch):
+                langs, rows = [], []
+                for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    if has_letter(text):
+                        w = windows_of(text.encode()).astype(np.uint8)
+                        rows += [w[at : at + ROW_WINDOWS].tobytes() for at in range(0, len(w), ROW_WINDOWS)]
+                        langs += [lang] * (len(rows) - len(langs))
+                yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(rows, pa.binary())], ["lang", "windows"])
+
+    # without a key, and by a hash of their place: rows of one language or text that stand together come to all parts, and apart there
+    parts = max(1, -(-(labelled.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES))
+    cut_up = labelled.mapInArrow(cut, "lang string, windows binary").withColumn("at", F.xxhash64(F.monotonically_increasing_id()))
+    dealt = scratch.write(cut_up.repartition(parts).sortWithinPartitions("at").drop("at"), "windows")
+    labels = sorted(r[0] for r in dealt.select("lang").distinct().collect())
+    if not labels:
+        return None
+    number = {lang: k for k, lang in enumerate(labels)}
+    net = fresh(labels, np.random.default_rng(seed))
+    for nth in range(max(PASSES, EPOCHS // parts)):
+        began = spark.sparkContext.broadcast(pickle.dumps(net))
+
+        def pass_over(batches: Iterator[pa.RecordBatch], began=began, nth=nth) -> Iterator[pa.RecordBatch]:
+            own, rng, seen, held, targets = pickle.loads(began.value), np.random.default_rng([seed, nth]), 0, [], []
+            adam = Adam(own)
+            for batch in batches:
+                for lang, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    held.append(raw)
+                    targets.append(np.full(len(raw) // WINDOW, number[lang]))
+                    if len(held) * ROW_WINDOWS >= HELD:
+                        seen += _trained(adam, held, targets, rng)
+            seen += _trained(adam, held, targets, rng)
+            if seen:
+                yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([pickle.dumps(own)], pa.binary())], ["n", "net"])
+
+        trained = sorted((r[0], bytes(r[1])) for r in dealt.mapInArrow(pass_over, "n long, net binary").collect())
+        net = mean_of([(n, pickle.loads(raw)) for n, raw in trained])
+    scratch.drop("windows")
+    return net
+
+
+def _trained(adam: Adam, held: list[bytes], targets: list[np.ndarray], rng: np.random.Generator) -> int:
+    """Trains on what is held and lets go of it; the number of windows."""
+    if not held:
+        return 0
+    windows = np.frombuffer(b"".join(held), dtype=np.uint8).reshape(-1, WINDOW).astype(np.int32)
+    adam.epoch(windows, np.concatenate(targets), rng)
+    held.clear()
+    targets.clear()
+    return len(windows)
+
+
 def has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
