@@ -302,6 +302,19 @@ def test_members_of_a_leader_against_brute_force(spark, tmp_path, lead):
     assert _reach(found) == _reach(near) and len(set(_reach(near))) > 1
 
 
+def test_copies_of_one_text_are_no_candidates_of_each_other(spark):
+    # what the leader has of its own is in the difference of every member
+    known = [(i, 0, 100, 12, [1, 2, 3, 4, 5, 6, *range(100 + 6 * i, 106 + 6 * i)]) for i in range(60)]
+    known += [(60 + i, 0, 100, 20, [*range(10, 24), *range(1000 + 6 * i, 1006 + 6 * i)]) for i in range(2)]  # 12 apart, 26 from all others
+    scratch = simjoin.Scratch(spark, "test")
+    links = simjoin._within(spark.createDataFrame(known, "a long, lead long, n long, d long, parts array<long>"), spark.createDataFrame([], "node long, root long"), 80, scratch, "x")
+    found = [[i == j for j in range(62)] for i in range(62)]
+    for r in links.collect():
+        found[r.a][r.b] = found[r.b][r.a] = True
+    assert _reach(found) == [0] * 60 + [60] * 2
+    assert spark.read.parquet(f"{scratch.root}/metx").count() == 1  # 1 771 seen from the leader
+
+
 def _reach(linked):
     """The least member that each one reaches."""
     root = [None] * len(linked)

@@ -21,7 +21,8 @@ What keeps the keys few and the join whole:
   components, and a key whose members all are in one component is done. Members within the radius of
   the leader (``Radius``) are known from then on by their difference from it; those beyond it choose
   another leader, for ``ROUNDS`` rounds; what is left then has the empty set as its leader.
-* Members of one leader: the difference of two sets is the difference of their differences from it. Two
+* Members of one leader: the difference of two sets is the difference of their differences from it, also once what most
+  members have in theirs (where the leader stands alone) is turned round in all of them. Two
   whose differences are small link by the triangle inequality, which one member for each leader settles.
   Any other two that link share a part of their differences among the first few, in the order of how
   many members of the leader have a part (rarest first): a prefix join finds them, and the exact
@@ -343,6 +344,14 @@ def _within(known: DataFrame, roots: DataFrame, percent: int, scratch: Scratch,
     members = scratch.write(members.join(open_leads, "lead", "left_semi"), f"open{name}")
     if not members.limit(1).count():
         return members.select("a", F.col("a").alias("b"))
+    # What more than half of a leader's members have in their differences is the leader's own: seen from the leader without
+    # it, differences are smaller, those of a member from another the same, and copies of one text share none of theirs.
+    sizes = members.groupBy("lead").agg(F.count(F.lit(1)).alias("m"))
+    shared = members.select("lead", F.explode("parts").alias("part")).groupBy("lead", "part").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    usual = shared.join(sizes, "lead").filter("2 * c > m").groupBy("lead").agg(F.collect_list("part").alias("usual"))  # no longer than two differences
+    seen = F.when(F.col("usual").isNull(), F.col("parts")).otherwise(F.concat(F.array_except("parts", "usual"), F.array_except("usual", "parts")))
+    members = members.join(usual, "lead", "left").withColumn("parts", seen).withColumn("d", F.size("parts").cast("long")).drop("usual")
+    members = scratch.write(members, f"seen{name}")
     # Differences of d and e shingles are at most d + e apart. If that is enough for any partner, it is for the member of the
     # leader with the most room, so all such pairs hang together through that one.
     room = F.lit(lose) * F.col("n") - F.lit(gain) * F.col("d")
