@@ -335,6 +335,15 @@ def test_graph_scores(spark):
     assert {(r.form, r.context) for r in got} == set(trusted) and 0 < len(trusted) < len(by)
 
 
+def test_a_round_of_the_graph_writes_one_table(spark, monkeypatch):
+    written, write = [], pii.Scratch.write
+    monkeypatch.setattr(pii.Scratch, "write", lambda self, df, name: written.append(name) or write(self, df, name))
+    rows = [(i, f"token = 'ab12ab12ab12ab12ab12ab{i:02}' and mail a{i}@b.org now") for i in range(6)]
+    got = pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r.spans.startswith("id:9:33,email:") for r in got)
+    assert written[:3] == ["spans", "items", "graph"] and written[3:] == [f"trusted{k}" for k in range(len(written) - 3)] and len(written) > 3
+
+
 def test_keys_are_found_where_something_is_assigned(spark):
     rnd = random.Random(3)
     key = lambda n: "a1" + "".join(rnd.choice("0123456789abcdef") for _ in range(n - 2))

@@ -143,9 +143,8 @@ def _trusted(items: DataFrame, scratch: Scratch) -> DataFrame:
         if found <= before:
             break
         before = found
-        # a value is worth the best of its trusted contexts; a seed stays one
-        best = graph.join(trusted, ["form", "context"], "left").groupBy("form", "value").agg(F.greatest(F.max("seed").cast("double"), F.coalesce(F.max("p"), F.lit(0.0))).alias("s"))
-        values = scratch.write(best, f"values{k}")
+        # a value is worth the best of its trusted contexts; a seed stays one. The next round reads this once, so only contexts are written
+        values = graph.join(trusted, ["form", "context"], "left").groupBy("form", "value").agg(F.greatest(F.max("seed").cast("double"), F.coalesce(F.max("p"), F.lit(0.0))).alias("s"))
     return trusted.select("form", "context")
 
 
@@ -160,10 +159,10 @@ def find(docs: DataFrame) -> DataFrame:
     ends, following = F.max(own("end")).over(by_start.rangeBetween(Window.unboundedPreceding, 0)), F.min(own("start")).over(by_start.rangeBetween(1, Window.unboundedFollowing))
     touched = F.coalesce(F.col("__ends") > F.col("start"), F.lit(False)) | F.coalesce(F.col("__next") < F.col("end"), F.lit(False))
     items = found.withColumn("__ends", ends).withColumn("__next", following).filter((F.col("kind") < last) | ~touched).drop("__ends", "__next")
-    by_text = scratch.write(found.filter(F.col("kind") < last).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("base")), "base")
+    by_text = found.filter(F.col("kind") < last).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("base"))
     items = scratch.write(items.select("*", F.explode("contexts").alias("context")).drop("contexts").select("*", F.explode("forms").alias("form")).drop("forms"), "items")
     seed = F.when(F.col("form") == KEY, F.col("key")).otherwise(F.col("kind") == F.col("form"))
-    trusted = scratch.write(_trusted(items.withColumn("seed", seed), scratch), "trusted")
+    trusted = _trusted(items.withColumn("seed", seed), scratch)
     fresh = items.filter(F.col("kind") == last).join(trusted, ["form", "context"], "left_semi")
     added = fresh.groupBy(*[F.col(c).alias(f"{c}3") for c in key]).agg(F.collect_set(F.struct("start", F.lit(last).alias("kind"), "end")).alias("added"))
     same = lambda x: [F.col(c).eqNullSafe(F.col(f"{c}{x}")) for c in key]
