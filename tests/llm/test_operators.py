@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontam, jpeg, langid, licences, media, mixing, pii, quality, sharding, simjoin
+from tidemark.llm import chat, decontam, jpeg, langid, licences, media, mixing, pii, quality, sharding, simjoin, textkernel
 from tidemark.llm.textkernel import SPACE_WORDS, Words, chunks, shingle_sets
 
 DOCS = "doc_id long, text string, source string, size string"
@@ -43,6 +43,14 @@ def test_word_kernel():
     assert [part.num_rows for part in chunks(batch, "text", 20)] == [1, 1, 2] or sum(p.num_rows for p in chunks(batch, "text", 20)) == 4
 
 
+def test_words_are_hashed_in_pieces_of_bounded_memory(monkeypatch):
+    text = "word and öther " * 60_000 + "x" * 400_000 + " end"
+    got = Words(pa.array([text, "end"]), SPACE_WORDS)
+    assert len(textkernel._POWERS) <= 400_002 and got.hash[-1] == got.hash[-2] and got.hash[0] == got.hash[-6] != got.hash[1]
+    monkeypatch.setattr(textkernel, "HASH_BYTES", 64 << 20)  # all at once
+    assert Words(pa.array([text, "end"]), SPACE_WORDS).hash.tolist() == got.hash.tolist()
+
+
 # ---- 1: mixing ----
 
 

@@ -14,6 +14,8 @@ import pyarrow as pa
 
 #: Bytes of text handled at a time; a longer text is handled alone.
 CHUNK_BYTES = 2 << 20
+#: Bytes of words hashed at a time, in arrays of 8 bytes for each; a longer word is hashed alone. A worker keeps as many powers of the base.
+HASH_BYTES = 1 << 18
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -102,8 +104,8 @@ class Words:
         out = np.empty(len(self.start), dtype=_U)
         at = 0
         while at < len(out):
-            # as many words as fit CHUNK_BYTES, one at least
-            to = max(at + 1, int(np.searchsorted(self.end, self.start[at] + CHUNK_BYTES, side="right")))
+            # as many words as fit HASH_BYTES, one at least
+            to = max(at + 1, int(np.searchsorted(self.end, self.start[at] + HASH_BYTES, side="right")))
             lo, hi = int(self.start[at]), int(self.end[to - 1])
             power, inverse = _powers(hi - lo + 1)
             total = np.empty(hi - lo + 1, dtype=_U)
