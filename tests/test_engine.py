@@ -174,3 +174,32 @@ def test_plans(spark):
         assert "SinglePartition" not in _plan(engine.range_frame(query, at, at + 7_200_000, 3_600_000)), query
     scan = _plan(engine.range_frame("rate(event_value[1h])", at, at + 7_200_000, 3_600_000))
     assert "GreaterThanOrEqual(ts," in scan and "LessThan(ts," in scan
+
+
+def test_samples_are_dealt_by_the_steps_they_are_spread_to(spark, monkeypatch):
+    from tidemark import datasets
+    from tidemark.plans import compiler
+
+    engine = Engine(datasets.event_value(spark, "/root/testdata/sf0.001"), 6 * 3_600_000)
+    start, hour = 1_704_067_200_000, 3_600_000
+    queries = ("sum by (event_type) (rate(event_value[6h]))", "max by (event_type) (event_value)", "topk by (event_type) (3, event_value)", "max_over_time(event_value[6h:1h])")
+    asked = lambda query: engine.range_frame(query, start, start + 720 * hour, hour)
+    shown = lambda frame: sorted((r.key, r.t, r.v) for r in frame.collect())
+    plain = [shown(asked(query)) for query in queries]
+    monkeypatch.setattr(compiler, "TASK_ROWS", 500)
+    monkeypatch.setattr(compiler, "SMALL_BYTES", 0)
+    dealt = [asked(query) for query in queries]
+    # 1000 samples at 7 steps each; those of the subquery again at 7
+    for query, frame, parts in zip(queries, dealt, (14, 14, 14, 98)):
+        assert "hashpartitioning(sid#" in _plan(frame) and f", {parts}), REPARTITION_BY_NUM" in _plan(frame), query
+    assert [shown(frame) for frame in dealt] == [[(k, t, pytest.approx(v)) for k, t, v in rows] for rows in plain]
+    assert "REPARTITION_BY_NUM" not in _plan(engine.range_frame("event_value", start, start, hour))
+
+
+def test_sizes_of_what_is_not_in_files_are_not_guessed(spark):
+    from tidemark.store import estimated_bytes
+
+    files = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    assert 0 < estimated_bytes(files.select("ts", "value")) < estimated_bytes(files) < 1 << 20
+    assert estimated_bytes(files.join(files, "event_id")) <= 2 * estimated_bytes(files)
+    assert estimated_bytes(spark.createDataFrame(spark.sparkContext.parallelize([(1,)]), "x long")) is None

@@ -9,7 +9,7 @@ from ..functions import ieee, numfmt
 from ..functions import labels as L
 from ..functions.regex import anchored, group_numbers, template_parts
 from ..lang import tree as q
-from ..store import Store
+from ..store import Store, estimated_bytes
 from . import ranges
 from .grid import Grid, inner_grid
 from .values import Scalar, Vector
@@ -18,6 +18,10 @@ LOOKBACK_MS = 300_000
 SUBQUERY_STEP_MS = 60_000
 #: From so many samples a step on, range functions sum tiles first.
 DENSE = 4
+#: About so many rows of one selection, each sample counted once for every step it can be spread to, go to one task.
+TASK_ROWS = 1 << 20
+#: Selections whose files, times those steps, have fewer bytes are dealt out as Spark does it.
+SMALL_BYTES = 32 << 20
 
 
 def _now() -> Column:
@@ -31,6 +35,7 @@ class Compiler:
         self.store, self.bounds, self.lookback = store, {"start": start, "end": end}, lookback_ms
         self.spark = store.samples.sparkSession
         self.names = 0
+        self.copies = 1  # steps of the subqueries around what is compiled, to which each of its rows can go
 
     # ---- entry points ----
 
@@ -73,6 +78,19 @@ class Compiler:
     def series(self, matchers: list[q.Matcher]) -> DataFrame:
         return self.store.series.filter(L.all_hold(F.col("labels"), matchers)).select("sid", "labels", F.col("key").alias("okey"))
 
+    def dealt(self, samples: DataFrame, length: int, grid: Grid) -> DataFrame:
+        """``samples`` by series, in partitions enough for all the steps they are spread to.
+
+        Left to itself Spark chooses partitions by the bytes of the samples, before those are spread over the steps of
+        ``length``; sorts and aggregations in the same task would then grow with the input.
+        """
+        copies = self.copies * grid.most_steps(length)
+        size = estimated_bytes(samples)
+        if grid.count == 1 or size is None or size * copies < SMALL_BYTES:
+            return samples
+        parts = -(-samples.count() * copies // TASK_ROWS)
+        return samples.repartition(parts, "sid") if parts > self.spark.sparkContext.defaultParallelism else samples
+
     def _fixed(self, at: q.At | None) -> int | None:
         return None if at is None else at.ms if at.bound is None else self.bounds[at.bound]
 
@@ -80,7 +98,8 @@ class Compiler:
         """The latest sample of each series in the lookback before each step, both ends included."""
         dim, fixed = self.series(node.matchers), self._fixed(node.at)
         own = grid if fixed is None else Grid.at(fixed)
-        samples = self.store.between(own.start - node.offset - self.lookback, own.end - node.offset).join(dim.select("sid"), "sid")
+        samples = self.store.between(own.start - node.offset - self.lookback, own.end - node.offset)
+        samples = self.dealt(samples, self.lookback, own).join(dim.select("sid"), "sid")
         if own.count == 1:
             latest = samples.groupBy("sid").agg(F.max_by(F.struct("t", "v"), "t").alias("x"))
             data = latest.select(F.lit(own.start).cast("long").alias("step_ts"), "sid", "x.t", "x.v")
@@ -103,14 +122,17 @@ class Compiler:
             fixed = self._fixed(sel.at)
             own = grid if fixed is None else Grid.at(fixed)
             dim = self.series(sel.matchers)
-            samples = self.store.between(own.start - sel.offset - node.range_ms, own.end - sel.offset).join(dim.select("sid"), "sid")
+            samples = self.store.between(own.start - sel.offset - node.range_ms, own.end - sel.offset)
+            samples = self.dealt(samples, node.range_ms, own).join(dim.select("sid"), "sid")
             return ranges.Points(samples, dim, own, sel.offset, node.range_ms), fixed
         if isinstance(node, q.Subquery):
             fixed = self._fixed(node.at)
             own = grid if fixed is None else Grid.at(fixed)
             step = node.step_ms or SUBQUERY_STEP_MS
             inner = inner_grid(self.spark, own, node.offset, node.range_ms, step)
+            around, self.copies = self.copies, self.copies * own.most_steps(node.range_ms)
             got = self.value(node.inner, inner)
+            self.copies = around
             vector = got if isinstance(got, Vector) else self.constant_vector(got, inner)
             data = vector.data.select("sid", F.col("step_ts").alias("t"), "v")
             return ranges.Points(data, vector.dim, own, node.offset, node.range_ms, every=step), fixed

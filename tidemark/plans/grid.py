@@ -44,6 +44,10 @@ class Grid:
         """The index of the last time at or before ``t``."""
         return F.least(F.lit(self.count - 1).cast("long"), F.floor((t - self.start) / F.lit(self.step)).cast("long"))
 
+    def most_steps(self, length: int) -> int:
+        """How many times can lie in ``length``, both ends included."""
+        return min(self.count, length // self.step + 1)
+
     def spread(self, df: DataFrame, first: Column, last: Column) -> DataFrame:
         """Each row once for every time with an index from ``first`` to ``last``, as step_ts."""
         if self.count == 1:

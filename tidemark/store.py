@@ -101,6 +101,15 @@ class Store:
         return Store(series, samples, interval, "day" in columns, self.raw if self.raw in columns else None)
 
 
+def estimated_bytes(frame: DataFrame) -> int | None:
+    """What the optimizer takes ``frame`` to have, of its inputs at most (joins multiply); None where it knows nothing."""
+    plan = frame._jdf.queryExecution().optimizedPlan()
+    leaves = plan.collectLeaves()
+    sizes = [int(x.stats().sizeInBytes()) for x in (leaves.apply(i) for i in range(leaves.size()))]
+    unknown = frame.sparkSession._jsparkSession.sessionState().conf().defaultSizeInBytes()
+    return None if any(s >= unknown for s in sizes) else min(sum(sizes), int(plan.stats().sizeInBytes()))
+
+
 def usual_interval(samples: DataFrame) -> int | None:
     """The mean time between the samples of a series, over all series; None if none has two."""
     by_series = samples.groupBy("sid").agg((F.max("t") - F.min("t")).alias("span"), (F.count(F.lit(1)) - 1).alias("gaps"))
