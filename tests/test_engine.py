@@ -203,3 +203,13 @@ def test_sizes_of_what_is_not_in_files_are_not_guessed(spark):
     assert 0 < estimated_bytes(files.select("ts", "value")) < estimated_bytes(files) < 1 << 20
     assert estimated_bytes(files.join(files, "event_id")) <= 2 * estimated_bytes(files)
     assert estimated_bytes(spark.createDataFrame(spark.sparkContext.parallelize([(1,)]), "x long")) is None
+
+
+def test_count_values_makes_texts_of_numbers_not_of_samples(spark):
+    values = [0.0, NAN, math.inf, -math.inf, 1.5, 1.5, 1e21, 1.25e-7, -1e-5, 123456.0, 1234567.0, 0.1 + 0.2, 0.0, NAN]
+    rows = [r for i, v in enumerate(values) for r in _series("m", {"i": str(i), "k": str(i % 2)}, [(1000, v)])]
+    got = Engine(Store.of_rows(spark.createDataFrame(rows, SCHEMA), distinct=True)).instant('count_values by (k) ("val", m)', 1000).frame
+    texts = ["0", "NaN", "+Inf", "-Inf", "1.5", "1.5", "1e+21", "1.25e-07", "-1e-05", "123456", "1.234567e+06", "0.30000000000000004", "0", "NaN"]
+    pairs = [(str(i % 2), x) for i, x in enumerate(texts)]
+    assert {(r.labels["k"], r.labels["val"]): r.v for r in got.collect()} == {p: pairs.count(p) for p in pairs}
+    assert "_groupingexpression" not in _plan(got)  # samples are grouped as they are, not by a text made of each

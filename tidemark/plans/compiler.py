@@ -222,9 +222,11 @@ class Compiler:
 
     def _values_counted(self, node: q.Aggregate, data: DataFrame, dim: DataFrame) -> Vector:
         name = node.param.value if isinstance(node.param, q.Text) else ""
-        counted = data.groupBy("step_ts", "gid", numfmt.text_of(F.col("v")).alias("__text")).agg(F.count(F.lit(1)).cast("double").alias("v"))
-        counted = counted.withColumn("sid", F.xxhash64("gid", "__text"))
-        pairs = counted.select("sid", "gid", "__text").dropDuplicates(["sid"])
+        # equal numbers have equal texts and others do not: the text is made once per number and group, not per sample
+        counted = data.groupBy("step_ts", "gid", F.col("v").alias("__number")).agg(F.count(F.lit(1)).cast("double").alias("v"))
+        counted = counted.withColumn("sid", F.xxhash64("gid", "__number"))
+        numbers = counted.select("sid", "gid", "__number").dropDuplicates(["sid"])
+        pairs = numbers.select("sid", "gid", numfmt.text_of(F.col("__number")).alias("__text"))
         out = pairs.join(dim.withColumnRenamed("sid", "gid"), "gid")
         labels = L.with_label(F.col("labels"), name, F.col("__text"))
         return Vector(counted.select("step_ts", "sid", F.col("step_ts").alias("t"), "v"), out.select("sid", labels.alias("labels"), F.concat("okey", "__text").alias("okey")))
