@@ -53,6 +53,25 @@ def test_a_stream_into_a_store(spark, tmp_path):
     assert not ingest.append(rows, path, max_series=4) and ingest.append(rows, path, max_series=5)
 
 
+def test_a_batch_is_worked_out_once(spark, tmp_path):
+    seen, path = spark.sparkContext.accumulator(0), str(tmp_path / "store")
+
+    def noted(row):
+        seen.add(1)
+        return row
+
+    def batch(points):
+        return spark.createDataFrame(spark.sparkContext.parallelize(points, 2).map(noted), SCHEMA + ", arrival long")
+
+    assert ingest.append(batch([({"__name__": "m"}, t, float(t), t) for t in range(6)]), path) and seen.value == 6
+    late = [({"__name__": "m"}, 5, -1.0, 0), ({"__name__": "m"}, 6, 6.0, 1), ({"__name__": "n"}, 7, 1.0, 2), ({"__name__": "n"}, 7, 2.0, 3)]
+    assert ingest.append(batch(late), path) and seen.value == 10
+    store = Store.read(spark, path)
+    assert sorted((r.t, r.v) for r in store.samples.collect()) == [*((t, float(t)) for t in range(7)), (7, 1.0)]
+    assert sorted(r.key for r in store.series.collect()) == ["m", "n"]
+    assert not ingest.append(batch([({"__name__": "o"}, 1, 1.0, 0)]), path, max_series=2) and seen.value == 11
+
+
 def test_pushes_over_http(spark, tmp_path):
     gate = PushGate(spark, str(tmp_path / "store"), token="secret", sample_limit=3, max_body=2000, max_series=2, now=lambda: 5.0)
     api = Api(Engine(Store.of_rows(spark.createDataFrame([], SCHEMA))), gate=gate)

@@ -13,6 +13,9 @@ from pyspark.sql.streaming.query import StreamingQuery
 from ..functions import labels as L
 from ..store import Store, cap_series, keep_first, series_id
 
+#: No more rows than about so many are sorted by one task when a batch is appended.
+TASK_ROWS = 1 << 20
+
 
 def _existing(spark, path: str) -> Store | None:
     where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/samples")
@@ -29,25 +32,40 @@ def told_apart(keyed: DataFrame, series: DataFrame | None) -> None:
 
 
 def append(rows: DataFrame, path: str, max_series: int = 1_000_000) -> bool:
-    """Appends a batch (labels, t, v, arrival) as a whole, or nothing if its new series exceed the cap."""
-    spark = rows.sparkSession
-    keyed = rows.withColumn("key", L.text_of(F.col("labels"))).withColumn("sid", series_id(F.col("key")))
-    first = keep_first(keyed)
-    known = _existing(spark, path)
+    """Appends a batch (labels, t, v, arrival) as a whole, or nothing if its new series exceed the cap.
+
+    The batch is kept while it is checked and written: of a stream, each pass would work out its state again. What is
+    kept stays in its partitions, so there are no more of them than its rows or the cores need.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    keyed = rows.withColumn("key", L.text_of(F.col("labels"))).withColumn("sid", series_id(F.col("key"))).coalesce(2 * cores).persist()
+    try:
+        low, high, n = keyed.agg(F.min("t"), F.max("t"), F.count(F.lit(1))).first()
+        parts = max(2 * cores, -(-n // TASK_ROWS))
+        first = keep_first(keyed.select("sid", "t", "v", "arrival").repartition(parts, "sid", "t")).drop("arrival")
+        return _append(keyed, first, low, high, path, max_series)
+    finally:
+        keyed.unpersist()
+
+
+def _append(keyed: DataFrame, first: DataFrame, low: int | None, high: int | None, path: str, max_series: int) -> bool:
+    spark, known = keyed.sparkSession, _existing(keyed.sparkSession, path)
     if known is not None:
-        low, high = first.agg(F.min("t"), F.max("t")).first()
         if low is None:
             return True
         first = first.join(known.between(low, high).select("sid", "t"), ["sid", "t"], "left_anti")
-    held = known.series.select("sid") if known is not None else spark.createDataFrame([], "sid long")
     told_apart(keyed.select("sid", "key"), known.series if known is not None else None)
-    if first.limit(1).count() and not cap_series(held, first, max_series).limit(1).count():
-        return False
-    series = first.select("sid", "labels", "key").dropDuplicates(["sid"])
-    if known is not None:
-        series = series.join(held, "sid", "left_anti")
-    Store(series, first.select("sid", "t", "v")).write(path)
-    return True
+    held = known.series.select("sid") if known is not None else spark.createDataFrame([], "sid long")
+    # a series that the store does not know has no sample there: all of its samples are new
+    series = keyed.select("sid", "labels", "key").dropDuplicates(["sid"]).join(held, "sid", "left_anti")
+    first = first.persist()
+    try:
+        if not first.isEmpty() and not cap_series(held, first, max_series).limit(1).count():
+            return False
+        Store(series, first).write(path)
+        return True
+    finally:
+        first.unpersist()
 
 
 def start(stream: DataFrame, path: str, checkpoint: str, delay: str = "6 hours", max_series: int = 1_000_000, once: bool = False) -> StreamingQuery:
@@ -58,8 +76,17 @@ def start(stream: DataFrame, path: str, checkpoint: str, delay: str = "6 hours",
     timed = stream.withColumn("key", L.text_of(F.col("labels"))).withColumn("ts", F.timestamp_millis("t"))
     fresh = timed.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["key", "t"]).select("labels", "t", "v")
 
+    adaptive = stream.sparkSession.conf.get("spark.sql.adaptive.enabled")
+
     def batch(df: DataFrame, number: int) -> None:
-        append(df.withColumn("arrival", F.monotonically_increasing_id()), path, max_series)
+        # a stream's session plans for as many partitions as its state has; the batch is out of it and can have fewer
+        conf = df.sparkSession.conf
+        before = conf.get("spark.sql.adaptive.enabled")
+        conf.set("spark.sql.adaptive.enabled", adaptive)
+        try:
+            append(df.withColumn("arrival", F.monotonically_increasing_id()), path, max_series)
+        finally:
+            conf.set("spark.sql.adaptive.enabled", before)
 
     writer = fresh.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="15 seconds")).start()

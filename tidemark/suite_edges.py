@@ -299,7 +299,7 @@ def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, shape = _labelled(spark, sf_dir), "labels map<string,string>, t long, v double"
     late = F.col("event_id") % 2 == 0
     for part in (rows.filter(late), rows.withColumn("v", F.when(late, F.lit(-1.0)).otherwise(F.col("v")))):
-        part.select("labels", "t", "v").coalesce(2).write.mode("append").json(source)
+        part.select("labels", "t", "v").write.mode("append").json(source)
         ingest.start(spark.readStream.schema(shape).json(source), path, check, delay="60 days", once=True).awaitTermination()
     store = Store.read(spark, path)
     return store.samples.join(store.series, "sid").select(*[F.col("labels")[c].alias(c) for c in BY_EVENT], "t", "v")
